@@ -104,7 +104,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 @lru_cache(None)
 def powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
 
 
 def segment_hash(values: np.ndarray, begin: np.ndarray, seed: int = 0) -> np.ndarray:
