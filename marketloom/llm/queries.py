@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import canonical_values, format_duplicates, plain_text
+from marketloom.llm import canonical_values, format_duplicates, leaked_passages, plain_text, wrong_encoding
 from marketloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,30 @@ def p6_text(spark: SparkSession, d: str) -> DataFrame:
     return plain_text.with_plain_text(table(spark, d, "crawled_products").select("crawl_id", "name"), "name").select("crawl_id", "plain", "changed")
 
 
+def names(spark: SparkSession, d: str) -> list[str]:
+    return leaked_passages.lexicon(table(spark, d, "brands"), table(spark, d, "sources"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages.found(table(spark, d, "documents"), table(spark, d, "eval_items"), names(spark, d))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages.passages(table(spark, d, "documents"), table(spark, d, "eval_items"), names(spark, d))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages.by_item(p8_found(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_encoding.found(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_encoding.restored(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
