@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import canonical_values, format_duplicates, leaked_passages, plain_text, wrong_encoding
+from marketloom.llm import canonical_values, format_duplicates, leaked_passages, plain_text, window_packing, wrong_encoding
 from marketloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,19 @@ def p6_text(spark: SparkSession, d: str) -> DataFrame:
     return plain_text.with_plain_text(table(spark, d, "crawled_products").select("crawl_id", "name"), "name").select("crawl_id", "plain", "changed")
 
 
+def tokenizer() -> str:
+    """The rank file of a public tokenizer; MARKETLOOM_TOKENIZER names another one."""
+    return os.environ.get("MARKETLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return window_packing.packed(table(spark, d, "documents"), tokenizer())
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return window_packing.fill(p7_containers(spark, d))
+
+
 def names(spark: SparkSession, d: str) -> list[str]:
     return leaked_passages.lexicon(table(spark, d, "brands"), table(spark, d, "sources"))
 
