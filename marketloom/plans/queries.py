@@ -6,12 +6,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.operators import skewed_keys, unit_conversion
+from marketloom.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL it is checked against, if SQL can express it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(
+    """
+    SELECT source_id, count(*) AS n_rows, count(p) AS n_prices, min(p) AS min_price, max(p) AS max_price,
+           CAST(sum(CAST(p AS DECIMAL(20, 2))) AS DOUBLE) AS sum_price, CAST(sum(CAST(p AS DECIMAL(20, 2))) AS DOUBLE) / nullif(count(p), 0) AS avg_price
+    FROM (SELECT source_id, CASE WHEN price > 0 AND NOT isnan(price) THEN price END AS p FROM landed_products) GROUP BY source_id
+    """
+)
+def p3_price_stats(spark: SparkSession, d: str) -> DataFrame:
+    return skewed_keys.price_stats(table(spark, d, "landed_products").select("record_id", "source_id", "price"))
+
+
+@query(
+    """
+    SELECT source_id, external_id, crawled_at, record_id, price FROM (
+      SELECT *, row_number() OVER (PARTITION BY source_id, external_id ORDER BY crawled_at DESC NULLS LAST, record_id DESC) AS rn FROM landed_products
+    ) WHERE rn = 1
+    """
+)
+def p3_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "landed_products").select("record_id", "source_id", "external_id", "crawled_at", "price")
+    return skewed_keys.latest(rows, ["source_id", "external_id"], "record_id", "crawled_at", ["price"])
+
+
+@query(
+    """
+    SELECT source_id, CAST(count(external_id) AS BIGINT) AS n_items, max(CASE WHEN external_id IS NOT NULL THEN n END) AS most_rows
+    FROM (SELECT source_id, external_id, count(*) AS n FROM landed_products GROUP BY 1, 2) GROUP BY source_id
+    """
+)
+def p3_distinct_items(spark: SparkSession, d: str) -> DataFrame:
+    return skewed_keys.distinct_items(table(spark, d, "landed_products").select("record_id", "source_id", "external_id"))
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return unit_conversion.found(table(spark, d, "crawled_products"))
+
+
+@query()
+def p4_flagged(spark: SparkSession, d: str) -> DataFrame:
+    return unit_conversion.flagged(table(spark, d, "crawled_products"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
