@@ -16,7 +16,7 @@ UNITS = {
     },
     "volume": {
         "ml": 1.0, "cc": 1.0, "cl": 10.0, "dl": 100.0, "l": 1000.0, "lit": 1000.0, "liter": 1000.0, "liters": 1000.0, "litre": 1000.0, "litres": 1000.0,
-        "fl oz": 29.5735295625, "fl. oz": 29.5735295625, "floz": 29.5735295625,
+        "fl oz": 29.5735295625, "floz": 29.5735295625,
     },
     "length": {
         "mm": 1.0, "cm": 10.0, "phan": 10.0, "dm": 100.0, "m": 1000.0, "met": 1000.0, "meter": 1000.0, "meters": 1000.0, "metre": 1000.0, "in": 25.4, "inch": 25.4, "inches": 25.4,
@@ -42,21 +42,26 @@ PHONE = re.compile(r"\b(?:dien thoai|dtdd|smart ?phones?|mobile|phones?|cellphon
 STORAGE_SIZES = {8, 16, 32, 64, 128, 256, 512, 1024, 2048}
 
 NUMBER = r"\d+(?:[.,]\d+)*"
-UNIT = "|".join(re.escape(u) for u in sorted(OF_UNIT, key=len, reverse=True) if u not in ('"', "''")) + r"|''|\""
-AMOUNT = re.compile(rf"(?<![a-z0-9.,])(?:({NUMBER})|({'|'.join(NUMBER_WORDS)})(?= ))\s*({UNIT})(?:(?<=[a-z])(?![a-z])|(?<=['\"]))(\d(?![\d.,]))?(?:\s+(ruoi)\b)?")
-VALUE = re.compile(rf"^\s*({NUMBER}|{'|'.join(NUMBER_WORDS)})\s*({UNIT})?\s*(ruoi)?\s*$")
+WORD_UNIT = "|".join(re.escape(u).replace(r"\ ", r"\s+") for u in sorted(OF_UNIT, key=len, reverse=True) if u not in ('"', "''"))
+NOISE = r"""\s*(?:[\[({"'*_:;,~-]\s*)?"""  # signs that formatting puts between a number and its unit
+AMOUNT = re.compile(
+    rf"(?<![a-z0-9.,])(?:({NUMBER})|({'|'.join(NUMBER_WORDS)})(?=[^a-z0-9]))"
+    rf"(?:{NOISE}((?:{WORD_UNIT})(?![a-z]))|\s*(''|\"))(\d(?![\d.,]))?(?:[^a-z0-9]{{1,3}}(ruoi)\b)?"
+)
+VALUE = re.compile(rf"""^\s*({NUMBER}|{'|'.join(NUMBER_WORDS)})\s*({WORD_UNIT}|''|")?\s*(ruoi)?\s*$""")
 STORED = re.compile(r"(?<![a-z0-9.,])(\d+(?:[.,]\d+)?)\s*([gt])(b)?(?![a-z0-9])")
 
 
-@lru_cache(1)
-def ascii_table() -> dict[int, str | None]:
+@lru_cache(2)
+def ascii_table(lookalikes: bool = True) -> dict[int, str | None]:
     """Characters to what they look like in plain lower-case ASCII; invisible ones and marks to nothing."""
     out: dict[int, str | None] = {}
     for c in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFF00, 0xFFEF), *range(0x1D400, 0x1D800)]:
         plain = "".join(x for x in ud.normalize("NFKD", chr(c)) if not ud.combining(x)).lower()
         if plain and plain != chr(c) and plain.isascii():
             out[c] = plain
-    out |= {ord(a): ud.normalize("NFD", b)[0].lower() for a, b in (LOOKALIKES | ALWAYS).items()}
+    if lookalikes:
+        out |= {ord(a): ud.normalize("NFD", b)[0].lower() for a, b in (LOOKALIKES | ALWAYS).items()}
     out |= {ord("đ"): "d", ord("Đ"): "d", ord("ð"): "d", ord("Ð"): "d", ord("Ɖ"): "d"}
     out |= {c: " " for c in SPACES}
     out |= {c: None for c in [*INVISIBLE, *range(0x300, 0x370)]}
@@ -65,9 +70,9 @@ def ascii_table() -> dict[int, str | None]:
     return out
 
 
-def plain_ascii(text: str) -> str:
-    """Lower case without accents, look-alikes and invisible characters resolved."""
-    return text.lower() if text.isascii() else text.translate(ascii_table()).lower()
+def plain_ascii(text: str, lookalikes: bool = True) -> str:
+    """Lower case without accents, look-alikes (if wanted) and invisible characters resolved."""
+    return text.lower() if text.isascii() else text.translate(ascii_table(lookalikes)).lower()
 
 
 def number(text: str, unit: str = "") -> float:
@@ -88,25 +93,32 @@ def number(text: str, unit: str = "") -> float:
     return float(".".join(parts))
 
 
+def spelt(unit: str) -> str:
+    """A unit as the tables spell it."""
+    unit = re.sub(r"[\s.]+", " ", unit).strip()
+    return "fl oz" if unit == "floz" else unit
+
+
 def amounts(text: str) -> list[tuple[str, float, bool]]:
     """``(quantity, amount in base units, written with the letter g alone)`` of a plain text, in
     order; adjacent amounts of one quantity in falling units ('2 kg 250 g') are added up."""
     out: list[tuple[str, float, bool]] = []
     end, last = -9, 0.0
     for m in AMOUNT.finditer(text):
-        unit = m[3].replace(".", "")
-        unit = "fl oz" if unit == "floz" else unit
+        unit = spelt(m[3] or m[4])
         quantity, factor = OF_UNIT[unit]
+        if m[1] and re.fullmatch(r"\d{5}", m[1]) and m[3] and not text[m.end(1) : m.start(3)].isspace() and m.end(1) != m.start(3):
+            continue  # a model code before a separator
         if unit == "in" and re.match(r"\s*\d", text[m.end() :]):
             continue
         value = number(m[1] or m[2], unit)
-        if unit == "g" and m[1] and value <= 6 and m.end(1) == m.start(3):
+        if unit == "g" and m[1] and value <= 6 and m.end(1) == m.start(3) and m.end(1) - m.start(1) == 1:
             continue  # a mobile generation
-        if m[4] and factor >= 1000:
-            value += int(m[4]) / 10
-        elif m[4]:
+        if m[5] and factor >= 1000:
+            value += int(m[5]) / 10
+        elif m[5]:
             continue
-        if m[5]:
+        if m[6]:
             value += 0.5
         amount = value * factor
         if out and out[-1][0] == quantity and factor < last and re.fullmatch(r"\s*", text[end : m.start()]):
@@ -151,12 +163,12 @@ def in_specs(specs: list[tuple[str, str]]) -> tuple[dict[str, float], dict[str,
         if not quantity or key.startswith(STORAGE_KEYS):
             continue
         m = VALUE.match(value)
-        unit = m[2] if m else None
+        unit = spelt(m[2]) if m and m[2] else None
         if m and not unit:
             hint = re.search(r"\(([^)]*)\)", key)
             unit = next((u for u in [hint[1].strip() if hint else "", *named] if OF_UNIT.get(u, ("",))[0] == quantity), None)
         if m and unit:
-            q, factor = OF_UNIT[unit.replace(".", "") if unit != "fl. oz" else "fl oz"]
+            q, factor = OF_UNIT[spelt(unit)]
             stated.setdefault(q, (number(m[1], unit) + (0.5 if m[3] else 0)) * factor)
         elif m:
             bare.setdefault(quantity, number(m[1]))
