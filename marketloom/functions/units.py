@@ -38,7 +38,7 @@ KEYS = {
 # Keys that name the unit of a bare number elsewhere in the specifications.
 UNIT_KEYS = ("unit", "units", "dvt", "don vi", "don vi tinh")
 STORAGE_KEYS = ("storage", "rom", "ram", "bo nho", "dung luong", "memory")
-PHONE = re.compile(r"\b(?:dien thoai|dtdd|smart ?phones?|mobile|phones?|cellphones?|may tinh bang|tablets?)\b")
+PHONE = re.compile(r"\b(?:dien\W+thoai|dtdd|smart\W?phones?|phones?|cellphones?|may\W+tinh\W+bang|tablets?)\b")
 STORAGE_SIZES = {8, 16, 32, 64, 128, 256, 512, 1024, 2048}
 
 NUMBER = r"\d+(?:[.,]\d+)*"
@@ -49,7 +49,7 @@ AMOUNT = re.compile(
     rf"(?:{NOISE}((?:{WORD_UNIT})(?![a-z]))|\s*(''|\"))(\d(?![\d.,]))?(?:[^a-z0-9]{{1,3}}(ruoi)\b)?"
 )
 VALUE = re.compile(rf"""^\s*({NUMBER}|{'|'.join(NUMBER_WORDS)})\s*({WORD_UNIT}|''|")?\s*(ruoi)?\s*$""")
-STORED = re.compile(r"(?<![a-z0-9.,])(\d+(?:[.,]\d+)?)\s*([gt])(b)?(?![a-z0-9])")
+STORED = re.compile(rf"(?<![a-z0-9.,])(\d+(?:[.,]\d+)?){NOISE}([gt])(b)?(?![a-z0-9])")
 
 
 @lru_cache(2)
