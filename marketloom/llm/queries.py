@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import canonical_values, format_duplicates, leaked_passages, plain_text, window_packing, wrong_encoding
+from marketloom.llm import canonical_values, format_duplicates, leaked_passages, plain_text, same_product, window_packing, wrong_encoding
 from marketloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.collapsed(table(spark, d, "crawled_products")).select("crawl_id", "copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_product.pairs(same_product.grouped(table(spark, d, "crawled_products"), table(spark, d, "brands")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return same_product.grouped(table(spark, d, "crawled_products"), table(spark, d, "brands"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     names = plain_text.masked_rows(table(spark, d, "crawled_products"), "crawled_products", "crawl_id", "name")
     return names.unionByName(plain_text.masked_rows(table(spark, d, "product_items"), "product_items", "id", "name_normalized"))
