@@ -7,6 +7,10 @@ or after it with over-fetching ('post').
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +36,8 @@ def term_score(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column, k1:
 
 
 def top(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
-    """The best ``k`` rows of each query with their ranks."""
-    w = W.partitionBy("query_id").orderBy(F.col(by).desc(), F.col("doc_id"))
+    """The best ``k`` rows of each query with their ranks; scores equal to nine places are ties."""
+    w = W.partitionBy("query_id").orderBy(F.round(by, 9).desc(), F.col("doc_id"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -64,17 +68,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def vector_scores(vectors: DataFrame, queries: dict[int, list[float]]) -> DataFrame:
-    """``(query_id, doc_id, score)``: the cosine of every vector with each of a few query vectors.
-
-    The query vectors are literals of the plan: one pass over the vectors, no join."""
-    asked = F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*(F.lit(float(x)) for x in v)).alias("v")) for q, v in queries.items()))
-    each = vectors.select("doc_id", "embedding", F.explode(asked).alias("q"))
-    return each.select("q.query_id", "doc_id", cosine(F.col("embedding"), F.col("q.v")).alias("score"))
-
-
-def vector(vectors: DataFrame, queries: dict[int, list[float]], k: int = 10) -> DataFrame:
-    return top(vector_scores(vectors, queries), k)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: exact nearest vectors ``(doc_id, embedding)`` by cosine of queries ``(query_id, embedding)``.
+
+    Queries go in blocks of a fixed number; each batch of vectors is one matrix product per block and
+    keeps its ``k`` best per query, so that only candidates are shuffled.  Vectors without length score 0."""
+    n = queries.count()
+    numbered = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))))
+    parts = []
+    for part in range(max(1, -(-n // block))):
+        rows = numbered.where(F.col("_part") == part).select("query_id", "embedding").collect()
+        if rows:
+            parts.append(nearest_block(vectors, [r[0] for r in rows], [r[1] for r in rows], k))
+    if not parts:
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top(out, k)
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size > 0, size, 1)
+
+
+def nearest_block(vectors: DataFrame, ids: list[int], probes: list[list[float]], k: int) -> DataFrame:
+    """Candidates ``(query_id, doc_id, score)`` of one block of queries: the best ``k`` of every batch."""
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), unit(np.array(probes, np.float64)).T))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, probe = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = b.column("embedding")
+            own = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            docs = b.column("doc_id").to_numpy()
+            score = unit(own) @ probe
+            order = np.lexsort((np.broadcast_to(docs[:, None], score.shape), -np.round(score, 9)), axis=0)[:k]
+            which = np.broadcast_to(np.arange(len(query)), order.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(query[which].ravel()), pa.array(docs[order].ravel()), pa.array(score[order, which].ravel())], names=["query_id", "doc_id", "score"])
+
+    lean = vectors.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
+    return lean.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def scaled(scores: DataFrame, name: str) -> DataFrame:
