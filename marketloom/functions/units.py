@@ -41,7 +41,7 @@ STORAGE_KEYS = ("storage", "rom", "ram", "bo nho", "dung luong", "memory")
 PHONE = re.compile(r"\b(?:dien\W+thoai|dtdd|smart\W?phones?|phones?|cellphones?|may\W+tinh\W+bang|tablets?)\b")
 STORAGE_SIZES = {8, 16, 32, 64, 128, 256, 512, 1024, 2048}
 
-NUMBER = r"\d+(?:[.,]\d+)*"
+NUMBER = r"\d++(?:[.,]\d++)*+"
 WORD_UNIT = "|".join(re.escape(u).replace(r"\ ", r"\s+") for u in sorted(OF_UNIT, key=len, reverse=True) if u not in ('"', "''"))
 NOISE = r"""\s*(?:[\[({"'*_:;,~-]\s*)?"""  # signs that formatting puts between a number and its unit
 AMOUNT = re.compile(

@@ -20,23 +20,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY = 0.02  # the share of all rows from which a key is heavy
-SALTED = "_salt"
+SALTED, SALTS, KEY = "__marketloom_salt", "__marketloom_salts", "__marketloom_key"
 
 
 def heavy_keys(df: DataFrame, *keys: str, share: float = HEAVY) -> DataFrame:
-    """``(keys..., salts)`` of the keys with over ``share`` of all rows; fewer than ``1 / share`` rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    """The keys and their numbers of salts, of the keys with over ``share`` of all rows; fewer than ``1 / share`` rows."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__marketloom_n"))
     total = df.count()  # of a Parquet table this reads the footers only
-    return counts.where(F.col("_n") > share * total).select(*keys, F.ceil(F.col("_n") / max(1.0, share * total)).cast("int").alias("salts"))
+    return counts.where(F.col("__marketloom_n") > share * total).select(*keys, F.ceil(F.col("__marketloom_n") / max(1.0, share * total)).cast("int").alias(SALTS))
 
 
 def salted(df: DataFrame, keys: list[str], row_id: str, share: float = HEAVY) -> DataFrame:
     """``df`` with a salt: 0 for light keys, for heavy ones spread by a hash of the row's id."""
-    heavy = heavy_keys(df, *keys, share=share).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "salts")
-    same = [df[k].eqNullSafe(heavy[f"_k{i}"]) for i, k in enumerate(keys)]
+    heavy = heavy_keys(df, *keys, share=share).select(*(F.col(k).alias(f"{KEY}{i}") for i, k in enumerate(keys)), SALTS)
+    same = [df[k].eqNullSafe(heavy[f"{KEY}{i}"]) for i, k in enumerate(keys)]
     joined = df.join(F.broadcast(heavy), same, "left")
-    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.col("salts"))).cast("int")
-    return joined.withColumn(SALTED, salt).drop("salts", *(f"_k{i}" for i in range(len(keys))))
+    salt = F.when(F.col(SALTS).isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.col(SALTS))).cast("int")
+    return joined.withColumn(SALTED, salt).drop(SALTS, *(f"{KEY}{i}" for i in range(len(keys))))
 
 
 def aggregated(df: DataFrame, keys: list[str], row_id: str, partial: list[Column], final: list[Column], share: float = HEAVY) -> DataFrame:

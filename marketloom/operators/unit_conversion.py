@@ -11,7 +11,7 @@ counted before the shuffle and fitted per quantity and type in parallel; a hot t
 hundred bins however many rows it has.
 
 Defined results: a row states at most one amount per quantity, that of the name goes first; null or
-empty names and specifications state nothing; zero and texts without a number state nothing; bare
+empty names and specifications state nothing; zero, absurdly long digits and texts without a number state nothing; bare
 numbers of a type without any stated amount use the quantity's other types, and without those the
 base unit with posterior 0; repeated rows repeat their results.
 """
@@ -33,6 +33,7 @@ BIN = 0.02  # of a log10 amount
 BANDWIDTH = 2.5  # bins
 SURE = 0.9
 STEPS = 30
+MOST = 1e15  # no amount; digits run together
 
 
 def stated(df: DataFrame, row_id: str = "crawl_id", name: str = "name", specs: str = "specs", kind: str = "category") -> DataFrame:
@@ -45,8 +46,8 @@ def stated(df: DataFrame, row_id: str = "crawl_id", name: str = "name", specs: s
                 phone = bool(k) and bool(PHONE.search(plain_ascii(k)))
                 own = in_name(plain_ascii(n), phone) if n else {}
                 other, bare = in_specs(s) if s else ({}, {})
-                rows += [(i, k, q, v, False) for q, v in (other | own).items() if v > 0]
-                rows += [(i, k, q, v, True) for q, v in bare.items() if v > 0 and q not in own]
+                rows += [(i, k, q, v, False) for q, v in (other | own).items() if 0 < v < MOST]
+                rows += [(i, k, q, v, True) for q, v in bare.items() if 0 < v < MOST and q not in own]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["crawl_id", "kind", "quantity", "value", "bare"])
 
