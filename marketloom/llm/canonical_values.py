@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 MOST_ENTRIES = 200_000
 MOST_EDITS = 2
 MEMO = 200_000
+MOST_FORMS = 24  # layers of words around one name
 LONGEST = 120  # letters of a key; longer values have no key near an entry of the list
 
 # Values that denote no entry, without accents and separators.
@@ -72,7 +73,7 @@ def accents(text: str) -> str:
 def undecorated(words: str) -> Iterator[str]:
     """The words, then without what sellers put before and after a name, in every amount."""
     seen, todo = set(), [words]
-    while todo:
+    while todo and len(seen) < MOST_FORMS:
         w = todo.pop(0)
         if not w or w in seen:
             continue
@@ -91,7 +92,7 @@ def forms(value: str) -> list[str]:
     out = list(undecorated(bare(last)))
     for part in re.split(r"[;(\[]", last)[:1]:
         out += undecorated(bare(part))
-    return list(dict.fromkeys(w for w in out if w))[:24]
+    return list(dict.fromkeys(w for w in out if w))
 
 
 def deletes(key: str, most: int) -> Iterator[str]:

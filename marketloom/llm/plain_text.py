@@ -205,18 +205,20 @@ def plain(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def with_plain_text(df: DataFrame, text: str, out: str = "plain", changed: str = "changed") -> DataFrame:
     """``df`` with the consistent form of column ``text`` and whether it differs.
 
-    Narrow: one pass, no shuffle, memory bounded by a slice of two million bytes.  An existing
-    column named ``out`` or ``changed`` is refused rather than overwritten.
+    Narrow: one pass, no shuffle, memory bounded by a slice of two million bytes.  Existing
+    columns named ``out`` or ``changed`` are replaced.
     """
-    if {out, changed} & set(df.columns):
-        raise ValueError(f"{out} or {changed} exists already; name others")
+    names = [c for c in df.columns if c not in (out, changed) or c == text]
+    df = df.select(*(F.col(f"`{c}`") for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
             better, flag = plain(b.column(text))
-            yield pa.RecordBatch.from_arrays([*b.columns, better, pa.array(flag)], names=[*b.schema.names, out, changed])
+            kept = [(n, c) for n, c in zip(b.schema.names, b.columns) if n not in (out, changed)]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), better, pa.array(flag)], names=[*(n for n, _ in kept), out, changed])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(changed, T.BooleanType())]))
+    kept = [f for f in df.schema.fields if f.name not in (out, changed)]
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType()), T.StructField(changed, T.BooleanType())]))
 
 
 def masked_rows(df: DataFrame, table: str, row_id: str, text: str) -> DataFrame:

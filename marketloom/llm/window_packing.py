@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,17 @@ def stretches(text: str) -> Iterator[str]:
 
 
 def count_tokens(text: str | None, path: str) -> int:
-    return sum(len(encoder(path).encode_ordinary(s)) for s in stretches(text)) if text else 0
+    """The number of tokens of a text; a stretch without any such cut is split by the pattern here,
+    as the tokenizer's own matcher runs out of stack on very long runs."""
+    if not text:
+        return 0
+    own, n = encoder(path), 0
+    for s in stretches(text):
+        if len(s) <= STRETCH:
+            n += len(own.encode_ordinary(s))
+        else:
+            n += sum(len(own._encode_single_piece(m[0])) for m in regex.finditer(PATTERN, s))
+    return n
 
 
 def token_counts(df: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
