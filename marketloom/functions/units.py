@@ -39,14 +39,15 @@ KEYS = {
 UNIT_KEYS = ("unit", "units", "dvt", "don vi", "don vi tinh")
 STORAGE_KEYS = ("storage", "rom", "ram", "bo nho", "dung luong", "memory")
 PHONE = re.compile(r"\b(?:dien\W+thoai|dtdd|smart\W?phones?|phones?|cellphones?|may\W+tinh\W+bang|tablets?)\b")
+MOST_INCHES = 500  # a larger number before a quotation mark is no size of a screen
 STORAGE_SIZES = {8, 16, 32, 64, 128, 256, 512, 1024, 2048}
 
 NUMBER = r"\d++(?:[.,]\d++)*+"
-WORD_UNIT = "|".join(re.escape(u).replace(r"\ ", r"\s+") for u in sorted(OF_UNIT, key=len, reverse=True) if u not in ('"', "''"))
+WORD_UNIT = "|".join(re.escape(u).replace(r"\ ", "[^a-z0-9]{1,4}") for u in sorted(OF_UNIT, key=len, reverse=True) if u not in ('"', "''"))
 NOISE = r"""\s*(?:[\[({"'*_:;,~-]\s*)?"""  # signs that formatting puts between a number and its unit
 AMOUNT = re.compile(
     rf"(?<![a-z0-9.,])(?:({NUMBER})|({'|'.join(NUMBER_WORDS)})(?=[^a-z0-9]))"
-    rf"(?:{NOISE}((?:{WORD_UNIT})(?![a-z]))|\s*(''|\"))(\d(?![\d.,]))?(?:[^a-z0-9]{{1,3}}(ruoi)\b)?"
+    rf"(?:{NOISE}((?:{WORD_UNIT})(?![a-z]))|\s*(''|\")(?![a-z0-9]))(\d(?![\d.,]))?(?:[^a-z0-9]{{1,3}}(ruoi)\b)?"
 )
 VALUE = re.compile(rf"""^\s*({NUMBER}|{'|'.join(NUMBER_WORDS)})\s*({WORD_UNIT}|''|")?\s*(ruoi)?\s*$""")
 STORED = re.compile(rf"(?<![a-z0-9.,])(\d+(?:[.,]\d+)?){NOISE}([gt])(b)?(?![a-z0-9])")
@@ -95,8 +96,7 @@ def number(text: str, unit: str = "") -> float:
 
 def spelt(unit: str) -> str:
     """A unit as the tables spell it."""
-    unit = re.sub(r"[\s.]+", " ", unit).strip()
-    return "fl oz" if unit == "floz" else unit
+    return "fl oz" if unit.startswith("fl") else unit
 
 
 def amounts(text: str) -> list[tuple[str, float, bool]]:
@@ -107,6 +107,8 @@ def amounts(text: str) -> list[tuple[str, float, bool]]:
     for m in AMOUNT.finditer(text):
         unit = spelt(m[3] or m[4])
         quantity, factor = OF_UNIT[unit]
+        if m[4] and number(m[1] or m[2]) > MOST_INCHES:
+            continue
         if m[1] and re.fullmatch(r"\d{5}", m[1]) and m[3] and not text[m.end(1) : m.start(3)].isspace() and m.end(1) != m.start(3):
             continue  # a model code before a separator
         if unit == "in" and re.match(r"\s*\d", text[m.end() :]):
