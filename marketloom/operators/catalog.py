@@ -25,44 +25,66 @@ def detail(products: DataFrame, sources: DataFrame, wanted: int, product_id: str
     return with_source(products.where(F.col(product_id) == wanted), sources)
 
 
-def price_groups(products: DataFrame, order: str) -> DataFrame:
-    """Products with equal first 50 characters of the name as one group with its offers.
+def comparable(products: DataFrame) -> DataFrame:
+    """Products with the key of their comparison group; those without a name are left out."""
+    return products.withColumn("group_key", prefix_key(first_truthy(F.col("name_normalized"), F.col("name")))).where("group_key <> ''")
 
-    The best offer is the cheapest one with a positive price, the later one (by ``order``) of equals, or the first item;
-    name and image are the first item's; a missing rating is 0 in the mean, a mean of 0 is null.
-    Needs ``id, name, name_normalized, price, original_price, discount_percent, platform, external_url, image_url, available, rating, review_count``.
-    A group's offers are one row by definition; what is not asked for of them is aggregated, not collected."""
-    key = prefix_key(first_truthy(F.col("name_normalized"), F.col("name")))
-    rows = products.withColumn("group_key", key).where("group_key <> ''")
-    valid = (F.col("price") > 0) & ~F.isnan("price")
+
+def group_figures(order: str) -> list[Column]:
+    """The aggregates of a group: the best offer is the cheapest one with a positive price, the later one (by
+    ``order``) of equals, or the first item; name and image are the first item's; a missing rating is 0 in the mean."""
     seq = F.col(order)
-    offer = F.struct(
-        seq.alias("seq"), "platform", F.coalesce(F.when(~F.isnan("price"), F.col("price")), F.lit(0.0)).alias("price"), "original_price", "discount_percent",
-        F.coalesce("external_url", F.lit("")).alias("url"), "available", F.col("id").alias("id"),
-    )
+    valid = (F.col("price") > 0) & ~F.isnan("price")
     item = F.struct(F.col("name").alias("name"), F.col("image_url").alias("image_url"), F.col("price").alias("price"), F.col("platform").alias("platform"))
-    out = rows.groupBy("group_key").agg(
+    return [
         F.min_by(item, seq).alias("first"),
         F.min_by(item, F.when(valid, F.struct(F.col("price"), -seq))).alias("best"),
-        F.array_sort(F.collect_list(offer)).alias("offers"),
         F.avg(F.coalesce(F.when(~F.isnan("rating"), F.col("rating")), F.lit(0.0))).alias("mean_rating"),
         F.sum(F.coalesce("review_count", F.lit(0))).alias("total_reviews"),
         F.count("*").alias("n_offers"),
-        F.min(F.col("price")).alias("low"),
-    )
+    ]
+
+
+def group_columns() -> list[Column]:
+    """The columns of a group from its aggregates; a mean rating of 0 is null."""
     best = F.coalesce("best", "first")
-    return out.select(
-        "group_key",
+    return [
+        F.col("group_key"),
         F.col("first.name").alias("canonical_name"),
         F.col("first.image_url").alias("image_url"),
         F.coalesce(F.when(~F.isnan(best["price"]), best["price"]), F.lit(0.0)).alias("best_price"),
         best["platform"].alias("best_platform"),
-        "offers",
         F.nullif("mean_rating", F.lit(0.0)).alias("avg_rating"),
-        "total_reviews",
-        "n_offers",
-        F.transform("offers", lambda o: o["id"]).alias("product_ids"),
-    )
+        F.col("total_reviews"),
+        F.col("n_offers"),
+    ]
+
+
+def price_groups(products: DataFrame, order: str) -> DataFrame:
+    """Products with equal first 50 characters of the name as one group.
+
+    Needs ``name, name_normalized, price, platform, image_url, rating, review_count``.  Partial aggregates only: a group of any
+    size costs its figures; its offers are the rows of :func:`price_offers`."""
+    return comparable(products).groupBy("group_key").agg(*group_figures(order)).select(*group_columns())
+
+
+def offer_columns() -> list[Column]:
+    return [
+        F.col("platform"), F.coalesce(F.when(~F.isnan("price"), F.col("price")), F.lit(0.0)).alias("price"), F.col("original_price"), F.col("discount_percent"),
+        F.coalesce("external_url", F.lit("")).alias("url"), F.col("available"), F.col("id"),
+    ]
+
+
+def price_offers(products: DataFrame, order: str) -> DataFrame:
+    """The offers of all groups in ascending order of price, one row each; the range sort splits a hot group."""
+    return comparable(products).select("group_key", F.col(order).alias("seq"), *offer_columns()).orderBy("group_key", "price", "seq")
+
+
+def page_groups(products: DataFrame, order: str) -> DataFrame:
+    """The groups of one page of results with their offers and ids as arrays, in the order of the results."""
+    offer = F.struct(F.col(order).alias("seq"), *offer_columns())
+    out = comparable(products).groupBy("group_key").agg(*group_figures(order), F.array_sort(F.collect_list(offer)).alias("offers"))
+    return out.select(*group_columns(), "offers", F.transform("offers", lambda o: o["id"]).alias("product_ids"))
 
 
 def savings(products: DataFrame) -> DataFrame:

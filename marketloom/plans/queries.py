@@ -266,13 +266,13 @@ GROUP_KEY = "trim(substring(lower(coalesce(nullif(name_normalized, ''), nullif(n
     WITH p AS (SELECT *, CAST(id AS BIGINT) AS seq, {GROUP_KEY} AS group_key FROM product_items),
     r AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY seq) AS f, row_number() OVER (PARTITION BY group_key ORDER BY (price > 0) IS TRUE DESC, CASE WHEN price > 0 THEN price END, CASE WHEN price > 0 THEN -seq ELSE seq END) AS b FROM p WHERE group_key <> '')
     SELECT group_key, max(name) FILTER (f = 1) AS canonical_name, coalesce(max(price) FILTER (b = 1), 0) AS best_price, max(platform) FILTER (b = 1) AS best_platform,
-           round(nullif(avg(coalesce(rating, 0)), 0), 6) AS avg_rating, CAST(sum(coalesce(review_count, 0)) AS BIGINT) AS total_reviews, count(*) AS n_offers, string_agg(id, ',' ORDER BY seq) AS product_ids
+           round(nullif(avg(coalesce(rating, 0)), 0), 6) AS avg_rating, CAST(sum(coalesce(review_count, 0)) AS BIGINT) AS total_reviews, count(*) AS n_offers
     FROM r GROUP BY group_key
     """
 )
 def price_compare_groups(spark: SparkSession, d: str) -> DataFrame:
     out = catalog.price_groups(table(spark, d, "product_items").withColumn("seq", F.col("id").cast("long")), "seq")
-    return out.select("group_key", "canonical_name", "best_price", "best_platform", F.round("avg_rating", 6).alias("avg_rating"), "total_reviews", "n_offers", F.array_join("product_ids", ",").alias("product_ids"))
+    return out.select("group_key", "canonical_name", "best_price", "best_platform", F.round("avg_rating", 6).alias("avg_rating"), "total_reviews", "n_offers")
 
 
 @query(f"SELECT {GROUP_KEY} AS group_key, count(*) AS n_offers, CASE WHEN count(*) > 1 THEN max(coalesce(price, 0)) - min(coalesce(price, 0)) ELSE 0 END AS savings FROM product_items WHERE {GROUP_KEY} <> '' GROUP BY 1")
@@ -280,13 +280,21 @@ def price_savings(spark: SparkSession, d: str) -> DataFrame:
     return catalog.savings(table(spark, d, "product_items"))
 
 
+@query(f"SELECT {GROUP_KEY} AS group_key, id, coalesce(price, 0) AS price, coalesce(external_url, '') AS url FROM product_items WHERE {GROUP_KEY} <> ''")
+def price_offers(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.price_offers(table(spark, d, "product_items").withColumn("seq", F.col("id").cast("long")), "seq").select("group_key", "id", "price", "url")
+
+
 @query(
-    f"""SELECT {GROUP_KEY} AS group_key, string_agg(CAST(CAST(coalesce(price, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY coalesce(price, 0)) AS prices FROM product_items WHERE {GROUP_KEY} <> '' GROUP BY 1"""
+    f"""SELECT {GROUP_KEY} AS group_key, string_agg(id, ',' ORDER BY CAST(id AS BIGINT)) AS product_ids, string_agg(CAST(CAST(coalesce(price, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY coalesce(price, 0)) AS prices
+    FROM (SELECT * FROM product_items ORDER BY CAST(id AS BIGINT) DESC LIMIT 50) WHERE {GROUP_KEY} <> '' GROUP BY 1"""
 )
-def offers_by_price(spark: SparkSession, d: str) -> DataFrame:
-    out = catalog.price_groups(table(spark, d, "product_items").withColumn("seq", F.col("id").cast("long")), "seq")
+def page_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of one page of 50 results."""
+    page = table(spark, d, "product_items").withColumn("seq", F.col("id").cast("long")).orderBy(F.col("seq").desc()).limit(50)
     offers = catalog.offers_by_price(F.col("offers"))
-    return out.select("group_key", F.array_join(F.transform(offers, lambda o: o["price"].cast("long").cast("string")), ",").alias("prices"))
+    prices = F.array_join(F.transform(offers, lambda o: o["price"].cast("long").cast("string")), ",")
+    return catalog.page_groups(page, "seq").select("group_key", F.array_join("product_ids", ",").alias("product_ids"), prices.alias("prices"))
 
 
 @query(

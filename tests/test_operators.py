@@ -95,7 +95,9 @@ def test_price_groups(spark):
         (4, "4", " ", "", 1.0, None, None, "p", None, None, None, None, None), (5, "5", "Lone", "lone", None, None, None, "p", None, "i", None, None, None),
     ]
     df = spark.createDataFrame(data, schema)
-    out = {r["group_key"]: r for r in catalog.price_groups(df, "seq").collect()}
+    assert rows(catalog.price_groups(df, "seq").select("group_key", "best_platform", "n_offers")) == [("a x", "p3", 3), ("lone", "p", 1)]
+    assert [(r["group_key"], r["id"]) for r in catalog.price_offers(df, "seq").collect()] == [("a x", "1"), ("a x", "2"), ("a x", "3"), ("lone", "5")]
+    out = {r["group_key"]: r for r in catalog.page_groups(df, "seq").collect()}
     assert set(out) == {"a x", "lone"}
     g = out["a x"]
     assert (g["canonical_name"], g["image_url"], g["best_price"], g["best_platform"], g["avg_rating"], g["total_reviews"], g["product_ids"]) == ("A X", "i1", 5.0, "p3", 2.0, 4, ["1", "2", "3"])
