@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.text import tokens
 from marketloom.operators import catalog, evaluation, filters, index, quality, ranking, stats
 
 
@@ -34,15 +35,15 @@ class Engine:
     """``products`` needs id, name, name_normalized, price and platform; ``vectors`` (doc_id, embedding) and
     ``encode`` (a query's vector) are needed for vector and hybrid search only."""
 
-    def __init__(self, products: DataFrame, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, path: str | None = None, mode: str = "pre") -> None:
+    def __init__(self, products: DataFrame, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, path: str | None = None, mode: str = "pre", tokenizer: Callable[[Column], Column] = tokens) -> None:
         self.spark: SparkSession = products.sparkSession
         self.products = products.withColumn("doc_id", F.col("id").cast("long"))
-        self.vectors, self.encode, self.path, self.mode = vectors, encode, path, mode
+        self.vectors, self.encode, self.path, self.mode, self.tokenizer = vectors, encode, path, mode, tokenizer
 
     # --- index ------------------------------------------------------------------------------------
 
     def documents(self) -> DataFrame:
-        return index.corpus(self.products, "doc_id", "name_normalized")
+        return index.corpus(self.products, "doc_id", "name_normalized", self.tokenizer)
 
     def build_index(self) -> index.Index:
         """Builds the index, on disk if the engine has a path."""

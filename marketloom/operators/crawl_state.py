@@ -55,3 +55,22 @@ def to_skip(items: DataFrame, item: Column, logs: DataFrame, logged: Column) ->
     """Items that a recent log row names."""
     done = logs.select(logged.cast("string").alias("_done")).where("_done is not null").distinct()
     return items.withColumn("_item", item.cast("string")).join(done, F.col("_item") == F.col("_done"), "left_semi").drop("_item")
+
+
+def opened(runs: DataFrame, now: Column) -> DataFrame:
+    """Log rows for runs ``(id, source_id, keyword, category_id)`` that begin now."""
+    none = lambda t: F.lit(None).cast(t)
+    return runs.select(
+        "id", "source_id", "keyword", "category_id", F.lit("running").alias("status"), now.cast("timestamp").alias("started_at"), none("timestamp").alias("ended_at"),
+        none("long").alias("total_items"), none("long").alias("new_items"), none("long").alias("updated_items"), none("long").alias("errors"),
+    )
+
+
+def closed(logs: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
+    """``logs`` with the figures ``(id, total_items, new_items, updated_items, errors)`` of runs that end now, and their status."""
+    names = ["total_items", "new_items", "updated_items", "errors"]
+    right = counts.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in names))
+    done = F.col("_id").isNotNull()
+    out = logs.join(right, logs["id"] == right["_id"], "left")
+    out = out.withColumns({c: F.when(done, F.col(f"_{c}")).otherwise(F.col(c)) for c in names} | {"status": F.when(done, run_status(F.col("_total_items"), F.col("_errors"))).otherwise(F.col("status")), "ended_at": F.when(done, now.cast("timestamp")).otherwise(F.col("ended_at"))})
+    return out.select(*logs.columns)

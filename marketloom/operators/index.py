@@ -7,9 +7,11 @@ the few row groups whose statistics cover it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import tokens
@@ -24,9 +26,20 @@ class Index:
     stats: DataFrame
 
 
-def corpus(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, tokens)`` of the rows with a text; the first tokenizer is :func:`tokens`."""
-    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), tokens(F.col(text)).alias("tokens"))
+def corpus(df: DataFrame, doc_id: str, text: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``(doc_id, tokens)`` of the rows with a text; the default tokenizer is :func:`tokens`, a Python one
+    comes from :func:`python_tokenizer`."""
+    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc_id).cast("long").alias("doc_id"), tokenizer(F.col(text)).alias("tokens"))
+
+
+def python_tokenizer(split: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """A word segmenter in Python as a tokenizer, in Arrow batches; compounds are joined by underscores by convention."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split(t) if t else [])
+
+    return run
 
 
 def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -68,7 +81,8 @@ def write(index: Index, path: str, partitions: int | None = None) -> None:
     posts.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    frequencies(index.postings).write.mode("overwrite").parquet(f"{path}/lexicon")
+    done = index.postings.sparkSession.read.parquet(f"{path}/postings")  # instead of counting the corpus again
+    frequencies(done).write.mode("overwrite").parquet(f"{path}/lexicon")
 
 
 def read(spark: SparkSession, path: str) -> Index:

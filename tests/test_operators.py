@@ -146,6 +146,20 @@ def test_crawl_state(spark):
     assert one_col(spark, crawl_state.run_status(F.lit(3), F.lit(1))) == "partial"
 
 
+def test_crawl_log(spark):
+    now = F.lit(T(2025, 1, 3)).cast("timestamp")
+    runs = spark.createDataFrame([(1, 7, "k", None), (2, 7, None, 5), (3, 7, "z", None)], "id long, source_id int, keyword string, category_id long")
+    counts = spark.createDataFrame([(1, 5, 3, 2, 0), (2, 0, 0, 0, 1)], "id long, total_items long, new_items long, updated_items long, errors long")
+    got = {r["id"]: (r["status"], r["new_items"], r["ended_at"]) for r in crawl_state.closed(crawl_state.opened(runs, now), counts, now).collect()}
+    assert got == {1: ("completed", 3, T(2025, 1, 3)), 2: ("failed", 0, T(2025, 1, 3)), 3: ("running", None, None)}
+
+
+def test_tokenizers(spark):
+    df = spark.createDataFrame([(1, "máy hút bụi"), (2, None)], "i long, t string")
+    joined = index.corpus(df, "i", "t", index.python_tokenizer(lambda t: [t.replace(" ", "_")]))
+    assert rows(index.postings(joined)) == [("máy_hút_bụi", 1, 1)]
+
+
 def test_tree(spark):
     cats = spark.createDataFrame([(1, "a", "a", 0, None), (2, "b", "b", 1, 1), (3, "c", "b", 2, 2), (4, "d", "d", 0, None), (8, "x", "x", 1, 9), (9, "y", "y", 1, 8)], "id int, name string, slug string, level int, parent_id int")
     got = [(r["id"], r["depth"]) for r in tree.flattened(cats).orderBy("path").collect()]
