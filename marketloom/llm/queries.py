@@ -87,5 +87,24 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+# All runs of twelve words of every document against those of every item.
+P8_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[\p{L}\p{N}]+') AS words FROM documents UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[\p{L}\p{N}]+') FROM eval_items),
+runs AS (SELECT side, id, array_to_string(words[i:i + 11], ' ') AS run FROM w, unnest(generate_series(1, len(words) - 11)) AS t(i))
+SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM runs d JOIN runs i ON d.run = i.run WHERE d.side = 'd' AND i.side = 'i'
+"""
+# Equal letters and digits in any order and equal addresses; for anagrams at one address, which these tables do not have, it is too wide.
+P2_SQL = r"""
+WITH c AS (
+  SELECT crawl_id, list_sort(string_split(regexp_replace(lower(name), '[^\p{L}\p{N}\p{M}]', '', 'g'), '')) AS letters,
+    regexp_replace(lower(string_split(external_url, '?')[1]), '[^\p{L}\p{N}]', '', 'g') AS path,
+    list_sort(list_filter(list_transform(string_split(lower(coalesce(string_split(external_url, '?')[2], '')), '&'), lambda p: regexp_replace(p, '[^\p{L}\p{N}=]', '', 'g')), lambda p: p <> '')) AS tail
+  FROM crawled_products WHERE name IS NOT NULL AND external_url IS NOT NULL)
+SELECT a.crawl_id AS id_a, b.crawl_id AS id_b FROM c a JOIN c b ON a.path = b.path AND a.letters = b.letters AND a.tail = b.tail AND a.crawl_id < b.crawl_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL, "p8_found": P8_SQL}
