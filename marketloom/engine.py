@@ -58,7 +58,7 @@ class Engine:
         if self.path:
             return index.read(self.spark, self.path)
         docs = self.documents()
-        return index.Index(index.postings(docs, terms), index.lengths(docs), index.stats(docs))
+        return index.Index(index.postings(docs, terms, with_length=True), index.lengths(docs), index.stats(docs))
 
     # --- search -----------------------------------------------------------------------------------
 

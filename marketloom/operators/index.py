@@ -19,7 +19,7 @@ from marketloom.functions.text import tokens
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, doc_id, tf)``, ``lengths(doc_id, dl)`` and one row of ``stats(n_docs, total_length, avgdl)``."""
+    """``postings(term, doc_id, tf[, dl])``, ``lengths(doc_id, dl)`` and one row of ``stats(n_docs, total_length, avgdl)``."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -42,10 +42,15 @@ def python_tokenizer(split: Callable[[str], list[str]]) -> Callable[[Column], Co
     return run
 
 
-def postings(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """``(term, doc_id, tf)``; with ``terms`` only theirs, pruned before anything is shuffled."""
+def postings(docs: DataFrame, terms: list[str] | None = None, with_length: bool = False) -> DataFrame:
+    """``(term, doc_id, tf)``; with ``terms`` only theirs, pruned before anything is shuffled.
+
+    ``with_length`` adds the document's length ``dl``, so that scoring needs no join with all documents."""
     kept = F.col("tokens") if terms is None else F.filter("tokens", lambda t: t.isin(sorted(set(terms))))
-    return docs.select("doc_id", F.explode(kept).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    if not with_length:
+        return docs.select("doc_id", F.explode(kept).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    rows = docs.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode(kept).alias("term"))
+    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def frequencies(posts: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Index:
-    return Index(postings(docs), lengths(docs), stats(docs))
+    return Index(postings(docs, with_length=True), lengths(docs), stats(docs))
 
 
 def merged(*parts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from marketloom.operators.index import Index
 
 K1, B = 1.5, 0.75
 OVER_FETCH, MOST_FETCHED = 20, 1000
+MOST_LITERALS = 1000
 
 
 def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
@@ -45,11 +46,17 @@ def bm25_scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B) ->
     """``(query_id, doc_id, score)`` of every document with a query term; a missing length counts as 0.
 
     The document frequencies are those of the whole corpus."""
-    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = [r["term"] for r in terms.select("term").distinct().collect()]  # as many as the request has
+    if len(wanted) <= MOST_LITERALS:  # reaches the scan, so that only row groups with the terms are read
+        asked = index.postings.where(F.col("term").isin(wanted))
+    else:
+        asked = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     one = index.stats.first() or {"n_docs": 0, "avgdl": 0.0}
     n, avgdl = F.lit(float(one["n_docs"])), F.lit(float(one["avgdl"]))
-    hits = asked.join(df, "term").join(terms, "term").join(index.lengths, "doc_id", "left")
+    hits = asked.join(F.broadcast(df), "term").join(F.broadcast(terms), "term")  # both have a row per term of the request
+    if "dl" not in hits.columns:
+        hits = hits.join(index.lengths, "doc_id", "left")
     each = term_score(F.col("tf"), F.coalesce("dl", F.lit(0)), n, avgdl, F.col("df"), k1, b) * F.col("weight")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(each).alias("score"))
 

@@ -110,7 +110,7 @@ def searched(spark: SparkSession, d: str) -> DataFrame:
     """The scores of all searches; only the postings of their terms are ever counted."""
     docs = index.corpus(table(spark, d, "product_items"), "id", "name_normalized")
     terms = [t for q in SEARCHES.values() for t in q.split()]
-    own = index.Index(index.postings(docs, terms), index.lengths(docs), index.stats(docs))
+    own = index.Index(index.postings(docs, terms, with_length=True), index.lengths(docs), index.stats(docs))
     return ranking.bm25_scores(own, ranking.query_terms(spark, SEARCHES))
 
 
@@ -166,7 +166,7 @@ def search_postfilter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT * FROM {POSTS}")
 def postings_tf(spark: SparkSession, d: str) -> DataFrame:
-    return names_index(spark, d).postings
+    return names_index(spark, d).postings.drop("dl")
 
 
 @query(f"WITH posts AS {POSTS}, st AS (SELECT count(*) AS n FROM {NAMED}) SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM posts, st GROUP BY term")
