@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.text import tokens
 from marketloom.operators import catalog, evaluation, filters, index, quality, ranking, stats
+from marketloom.session import ship
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class Engine:
 
     def __init__(self, products: DataFrame, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, path: str | None = None, mode: str = "pre", tokenizer: Callable[[Column], Column] = tokens) -> None:
         self.spark: SparkSession = products.sparkSession
+        ship(self.spark)
         self.products = products.withColumn("doc_id", F.col("id").cast("long"))
         self.vectors, self.encode, self.path, self.mode, self.tokenizer = vectors, encode, path, mode, tokenizer
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHIPPED: set[str] = set()
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -31,6 +36,7 @@ def local_session(cpus: int = 8, memory: str = "12g", **conf: str) -> SparkSessi
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -58,5 +64,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which need not have it on their path; once per application.
+
+    Spark serves the archive from the driver to every executor, also to those that join later."""
+    sc = spark.sparkContext
+    if sc.applicationId in SHIPPED:
+        return
+    root = Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    with tempfile.NamedTemporaryFile(prefix="marketloom-", suffix=".zip", delete=False) as out:
+        out.write(data.getvalue())
+    sc.addPyFile(out.name)
+    SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables of a folder; the first one read ships the package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
