@@ -111,8 +111,8 @@ def amounts(text: str) -> list[tuple[str, float, bool]]:
             continue
         if m[1] and re.fullmatch(r"\d{5}", m[1]) and m[3] and not text[m.end(1) : m.start(3)].isspace() and m.end(1) != m.start(3):
             continue  # a model code before a separator
-        if unit == "in" and re.match(r"\s*\d", text[m.end() :]):
-            continue
+        if unit == "in" and m[1] and m[1].isdigit() and int(m[1]) <= 10 and re.match(r"\s*\d+\b(?!-)", text[m.end() :]):
+            continue  # '2 in 1'
         value = number(m[1] or m[2], unit)
         if unit == "g" and m[1] and value <= 6 and m.end(1) == m.start(3) and m.end(1) - m.start(1) == 1:
             continue  # a mobile generation
