@@ -123,7 +123,7 @@ def amounts(text: str) -> list[tuple[str, float, bool]]:
         if m[6]:
             value += 0.5
         amount = value * factor
-        if out and out[-1][0] == quantity and factor < last and re.fullmatch(r"\s*", text[end : m.start()]):
+        if out and out[-1][0] == quantity and factor < last and re.fullmatch(r"[^a-z0-9|/]{0,6}", text[end : m.start()]):
             out[-1] = (quantity, out[-1][1] + amount, False)
         else:
             out.append((quantity, amount, unit == "g"))

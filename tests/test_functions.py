@@ -108,7 +108,7 @@ def test_display(spark):
 @pytest.mark.parametrize(
     "raw, want",
     [
-        ("Bột giặt 1.5 [ký]", [("mass", 1500)]), ("60.9  fl  oz", [("volume", 1801)]), ("nửa - lít", [("volume", 500)]), ("1 lít rưỡi", [("volume", 1500)]), ("2 kg 250 g", [("mass", 2250)]), ('TV 75" LED', [("length", 1905)]),
+        ("Bột giặt 1.5 [ký]", [("mass", 1500)]), ("60.9  fl  oz", [("volume", 1801)]), ("nửa - lít", [("volume", 500)]), ("1 lít rưỡi", [("volume", 1500)]), ("2 kg 250 g", [("mass", 2250)]), ("5 kg... 500 g", [("mass", 5500)]), ("5 kg | 500 g", [("mass", 5000), ("mass", 500)]), ('TV 75" LED', [("length", 1905)]),
         ("50''", [("length", 1270)]), ("1kg5", [("mass", 1500)]), ("3,600 ML", [("volume", 3600)]), ("0.250 kg", [("mass", 250)]), ("2 in 1", []), ("TV 50 in 12-month warranty", [("length", 1270)]), ("TV 32 in 4 loa", [("length", 813)]), ("5G", []), ("8 lạng", [("mass", 800)]), ("120 phân", [("length", 1200)]),
         ("0,85 KW", [("power", 850)]), ("2,25k‍ilogam", [("mass", 2250)]), ("３５ ｃｌ", [("volume", 350)]), ("5 kilοgam", [("mass", 5000)]), ("12 oz", [("mass", 340)]), ("9" * 5000, []), ("220V 5V/2A", []), ('KM-23042 "Max"', []), ('64 "Gb"', []), ("25.4 FL *OZ*", [("volume", 751)]), ("1 lít (rưỡi)", [("volume", 1500)]), ('23042 " x', []),
     ],
