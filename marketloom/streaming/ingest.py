@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from marketloom.operators.index import postings
-from marketloom.operators.upsert import last_wins, new_rows
+from marketloom.operators.upsert import last_wins
 
 
 def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str) -> DataStreamWriter:
