@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.functions.codepoints import TOP, any_in_row, from_codepoints, pieces, rows_of, text_column, to_codepoints
+from marketloom.functions.codepoints import TOP, any_in_row, from_codepoints, pieces, text_column, to_codepoints
 from marketloom.functions.lookalikes import ALWAYS, INVISIBLE, LOOKALIKES, SPACES
 
 JOINER = 0x200D
@@ -150,7 +150,6 @@ def compose(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     apart = np.where(width[source] > 1, t["flat"][np.minimum(t["start"][whole] + place, len(t["flat"]) - 1)], whole).astype(np.uint32)
     at = np.append(first, end[-1])[at]
     ccc = t["ccc"][apart].astype(np.int64)
-    row = rows_of(at)
     new = ccc == 0
     new[at[:-1][at[:-1] < len(apart)]] = True
     group = np.cumsum(new) - 1
@@ -173,7 +172,6 @@ def compose(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         last[g[~fits]] = ccc[here[~fits]]
     apart = apart.copy()
     apart[head] = base.astype(np.uint32)
-    # letters that were composed to begin with and got no mark are composed again from their own parts
     return apart[keep], offsets_after(keep, at)
 
 
