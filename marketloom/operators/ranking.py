@@ -117,7 +117,7 @@ def nearest_block(vectors: DataFrame, ids: list[int], probes: list[list[float]],
             which = np.broadcast_to(np.arange(len(query)), order.shape)
             yield pa.RecordBatch.from_arrays([pa.array(query[which].ravel()), pa.array(docs[order].ravel()), pa.array(score[order, which].ravel())], names=["query_id", "doc_id", "score"])
 
-    lean = vectors.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
+    lean = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
     return lean.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
