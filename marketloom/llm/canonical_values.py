@@ -13,7 +13,7 @@ value that a third of all rows share costs one lookup per task.
 
 Defined results: null and blank values take no part; a value that is byte for byte an entry takes
 no part in :func:`found` and maps to that entry in :func:`mapped`; of entries with equal names the
-smallest id stands for all; values that say "none" or "other" map to -1; very long values cannot
+smallest id stands for all, entries without an id or a name for nothing; values that say "none" or "other" map to -1; very long values cannot
 be within two edits of an entry and map to -1 unless their last path element does.
 """
 
@@ -192,7 +192,7 @@ def entries_of(reference: DataFrame, values: DataFrame, column: str) -> list[tup
     """The reference list with frequencies in the data, or None if it is too long to be broadcast."""
     if reference.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
         return None
-    names = reference.where("name is not null").groupBy("name").agg(F.min("id").alias("id"))
+    names = reference.where("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("id"))
     often = values.select(F.col(column).alias("name")).join(F.broadcast(names.select("name")), "name").groupBy("name").agg(F.count("*").alias("often"))
     return [(r["id"], r["name"], r["often"] or 0) for r in names.join(often, "name", "left").collect()]
 
@@ -261,7 +261,7 @@ def mapped_by_join(df: DataFrame, row_id: str, column: str, reference: DataFrame
         return pdf.iloc[:1][["v"]].assign(ref_id=lookup.resolve(value))
 
     filled = df.where(F.trim(F.col(column)) != "").select(F.col(row_id).cast("long").alias("record_id"), F.col(column).alias("v"))
-    names = reference.where("name is not null").groupBy("name").agg(F.min("id").alias("id"))
+    names = reference.where("name is not null and id is not null").groupBy("name").agg(F.min("id").alias("id"))
     often = filled.groupBy(F.col("v").alias("name")).agg(F.count("*").alias("often"))
     names = names.join(often, "name", "left").fillna(0, ["often"])
     keys = names.join(names.select(F.col("name").alias("v")).mapInArrow(cut_up, "v string, d string").withColumnRenamed("v", "name"), "name")

@@ -11,7 +11,7 @@ Scale: the items' windows are broadcast if there are at most ``MOST_WINDOWS`` of
 do not grow with the corpus); beyond that the windows are joined as tables.  Documents are
 read once, hashed as arrays and never shuffled; all windows of whole texts count.
 
-Defined results: null or empty texts and texts shorter than a window have no windows; an item that
+Defined results: items without an id are no items; null or empty texts and texts shorter than a window have no windows; an item that
 occurs many times in a document, and documents landed twice, give one row per pair of ids; items with equal texts are all
 reported.
 """
@@ -207,7 +207,7 @@ def collected(items: DataFrame, item_id: str, text: str) -> tuple[list[int], lis
     words = items.select(F.sum(F.size(F.split(text, r"[^\p{L}\p{N}]+")))).first()[0] or 0
     if words > MOST_WINDOWS:
         return None
-    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text).collect()
+    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), text).collect()
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
@@ -228,7 +228,7 @@ def found(docs: DataFrame, items: DataFrame, names: list[str] = [], doc_id: str
     held = collected(items, item_id, text)
     if held is None:
         mine = windows_table(docs, doc_id, text, names).withColumnRenamed("id", "doc_id")
-        other = windows_table(items, item_id, text, names).withColumnRenamed("id", "item_id").distinct()
+        other = windows_table(items.where(F.col(item_id).isNotNull()), item_id, text, names).withColumnRenamed("id", "item_id").distinct()
         return mine.join(other, ["template", "exact"]).select("item_id", "doc_id").distinct()
     shared = docs.sparkSession.sparkContext.broadcast((*held, names))
 

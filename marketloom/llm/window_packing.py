@@ -168,15 +168,15 @@ def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     groups = max(1, -(-(total[0] or 0) // GROUP_TOKENS), -(-total[1] // GROUP_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column("doc_id").to_numpy(zero_copy_only=False), b.column("n_tokens").to_numpy()) for b in batches]
+        rows = [(b.column("doc_id"), b.column("n_tokens").to_numpy()) for b in batches]
         if not rows:
             return
-        ids, sizes = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        ids, sizes = pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
         doc, part, container, tokens = pack(sizes, capacity)
         container = container + (TaskContext.get().partitionId() << 40)
         for s in range(0, len(doc), 100_000):
             at = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[at]]), pa.array(part[at]), pa.array(container[at]), pa.array(part[at].astype(np.int64) * capacity), pa.array(tokens[at])], names=["doc_id", "part", "container", "first_token", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at])), pa.array(part[at]), pa.array(container[at]), pa.array(part[at].astype(np.int64) * capacity), pa.array(tokens[at])], names=["doc_id", "part", "container", "first_token", "n_tokens"])
 
     grouped = counts.repartition(groups, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "n_tokens")
     return grouped.mapInArrow(run, "doc_id long, part int, container long, first_token long, n_tokens long")

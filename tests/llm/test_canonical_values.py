@@ -51,7 +51,7 @@ def test_distance_and_dictionary_against_brute_force():
 def tables(spark):
     rows = [(1, "DROVERUS", "Tivi"), (2, "droveru", "Máy > tivi"), (3, None, ""), (4, "  ", None), (5, "OEM", "tv"), (6, "Balgulul Mobil", "Tivi"), (6, "Balgulul Mobil", "Tivi")]
     landed = spark.createDataFrame([(*r, "x", 1) for r in rows], "record_id long, brand_raw string, category_raw string, value string, ref_id int")
-    brands = spark.createDataFrame([(i, n) for i, n, _ in BRANDS] + [(99, None)], "id int, name string")
+    brands = spark.createDataFrame([(i, n) for i, n, _ in BRANDS] + [(99, None), (None, "tv")], "id int, name string")
     return landed, brands, spark.createDataFrame([(70, "Tivi")], "id int, name string")
 
 

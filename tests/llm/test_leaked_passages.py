@@ -22,7 +22,7 @@ def brute(items, docs):
         return {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
 
     own = {i: runs(t) for i, t in items}
-    return {(i, d) for d, t in docs for r in [runs(t)] for i in own if own[i] & r}
+    return {(i, d) for d, t in docs for r in [runs(t)] for i in own if i is not None and own[i] & r}
 
 
 def documents():
@@ -39,7 +39,7 @@ def documents():
 
 def test_found_against_brute_force(spark, monkeypatch):
     docs = documents()
-    items = [*enumerate(ITEMS), (90, None), (91, ""), (92, ITEMS[2])]
+    items = [*enumerate(ITEMS), (90, None), (91, ""), (92, ITEMS[2]), (None, ITEMS[3])]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int")
     i = spark.createDataFrame(items, "item_id long, text string")
     want = brute(items, docs)

@@ -56,6 +56,8 @@ def test_table(spark):
     assert wp.fill(out, 512).first()["fullest"] <= 512
     assert [tuple(r) for r in rows] == [tuple(r) for r in wp.packed(df, tokenizer(), capacity=512).collect()]
     assert wp.packed(df.limit(0), tokenizer()).count() == 0
+    nameless = spark.createDataFrame([(None, "một"), (None, "hai"), (1, "ba")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in wp.packed(nameless, tokenizer()).collect()) == ["1", "None", "None"]
     assert wp.packed(df.where("doc_id in (1, 2)"), tokenizer()).count() == 2
 
 
