@@ -10,8 +10,9 @@ comparison that skips and folds as it goes and lets fields move.
 
 Scale: one pass makes ``(id, hashes)``; counts per hash are combined before the shuffle; only rows
 whose hash occurs twice carry their texts.  Each of those is compared with one representative
-(linear in the group, never all pairs), the rows that differ go into another round.  A hot group
-is split by AQE's skew join, as only its representative is on the other side.
+(linear in the group, never all pairs), the rows that differ go into another round.  After ROUNDS
+rounds up to AT_ONCE representatives a hash are compared at once, until no row is left.  A hot group
+is split by AQE's skew join, as only its representatives are on the other side.
 
 Defined results: rows with a null name or URL are records of their own and take no part in
 groups; an empty name equals a blank one; byte-equal rows count as copies; ties for the
@@ -20,6 +21,7 @@ representative go to the smallest id.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import unicodedata as ud
 from collections.abc import Iterator
@@ -28,12 +30,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.codepoints import TOP, mix64, pieces, segment_hash, spread64, text_column, to_codepoints
 from marketloom.session import cut
 
 ROUNDS = 6  # records that share all hashes but differ, one after another
+AT_ONCE = 16  # rows of a hash that later rounds take their representatives from
 
 
 @lru_cache(None)
@@ -197,22 +201,47 @@ def compared(candidates: DataFrame) -> DataFrame:
     return candidates.join(leaders, ["hn", "hu"]).mapInArrow(run, "id long, hn long, hu long, name string, url string, rep long, same boolean")
 
 
+def compared_at_once(candidates: DataFrame) -> DataFrame:
+    """As :func:`compared`, with several representatives: those of the first AT_ONCE rows of a hash that
+    are no copies of each other, in the order of their ids.  A row has the first one it is the same as."""
+    kind = "array<struct<id: bigint, name: string, url: string>>"
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rows in b.column("leaders").to_pylist():
+                kept: list[dict] = []
+                for r in rows:
+                    if not any(same_url(r["url"], k["url"]) and same_name(k["name"], r["name"]) for k in kept):
+                        kept.append(r)
+                out.append(kept)
+            yield pa.RecordBatch.from_arrays([b.column("hn"), b.column("hu"), pa.array(out, b.schema.field("leaders").type)], names=["hn", "hu", "leaders"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                name, url, leaders = (b.column(c).to_pylist() for c in ("name", "url", "leaders"))
+                rep = [next((k["id"] for k in ks if same_url(u, k["url"]) and same_name(k["name"], n)), None) for n, u, ks in zip(name, url, leaders)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "hn", "hu", "name", "url")), pa.array(rep, pa.int64()), pa.array([r is not None for r in rep], pa.bool_())], names=["id", "hn", "hu", "name", "url", "rep", "same"])
+
+    order = W.partitionBy("hn", "hu").orderBy("id")
+    first = candidates.where("id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= AT_ONCE)
+    leaders = first.groupBy("hn", "hu").agg(F.sort_array(F.collect_list(F.struct("id", "name", "url"))).alias("leaders")).mapInArrow(leading, f"hn long, hu long, leaders {kind}")
+    return candidates.join(leaders, ["hn", "hu"]).mapInArrow(run, "id long, hn long, hu long, name string, url string, rep long, same boolean")
+
+
 def members(df: DataFrame, row_id: str = "crawl_id", name: str = "name", url: str = "external_url") -> DataFrame:
     """``(id, rep)`` of every row that has a copy; ``rep`` is the smallest id of its record."""
     rows = hashed(df, row_id, name, url)
     twice = rows.groupBy("hn", "hu").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     left = cut(rows.join(twice, ["hn", "hu"]))
     parts: list[DataFrame] = []
-    for _ in range(ROUNDS):
-        done = cut(compared(left))
+    for n in itertools.count():  # each round removes at least the smallest id of every hash
+        done = cut(compared(left) if n < ROUNDS else compared_at_once(left))
         parts.append(done.where("same").select("id", "rep"))
         left = done.where("not same").select("id", "hn", "hu", "name", "url")
         if left.isEmpty():
             break
-    else:  # more different records than rounds share a hash: told apart by their letters in order
-        key = F.struct("hn", "hu", F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}\p{M}]", ""))
-        keyed = left.withColumn("k", key)
-        parts.append(keyed.join(keyed.groupBy("k").agg(F.min("id").alias("rep")), "k").select("id", "rep"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -56,6 +56,14 @@ def test_colliding_records_are_told_apart(spark, crawled):
     assert {tuple(r) for r in fd.pairs(fd.members(df)).collect()} == want
 
 
+def test_many_colliding_records_with_moved_fields(spark, crawled):
+    """More anagrams at one address than any fixed number of rounds tells apart; the fields of a copy stand in another order."""
+    codes = ["".join(c) for c in itertools.permutations("54321")][:40]
+    names = [f"AB {c} - 2L" for c in codes] + [f"2l | ab {c}" for c in codes]
+    df = crawled([{"crawl_id": i, "name": n, "external_url": URL} for i, n in enumerate(names)])
+    assert {tuple(r) for r in fd.pairs(fd.members(df)).collect()} == {(i, i + 40) for i in range(40)}
+
+
 def test_long_and_hot(spark, crawled):
     """A group of a third of all rows, very long texts."""
     rows = [{"crawl_id": i, "name": "Tivi, 32 in" if i % 3 == 0 else f"n{i}", "external_url": URL if i % 3 == 0 else f"u{i}"} for i in range(300)]
