@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.operators.index import Index
+from marketloom.session import cut
 
 K1, B = 1.5, 0.75
 OVER_FETCH, MOST_FETCHED = 20, 1000
@@ -65,6 +67,88 @@ def bm25(index: Index, terms: DataFrame, k: int = 10) -> DataFrame:
     return top(bm25_scores(index, terms), k)
 
 
+def bm25_many(docs: DataFrame, queries: DataFrame, k: int = 10, among: DataFrame | None = None, block: int = 1024, k1: float = K1, b: float = B) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: the best documents ``(doc_id, tokens)`` of as many queries ``(query_id, tokens)`` as there are.
+
+    As :func:`nearest`, queries go in blocks of a fixed number and each partition keeps its ``k`` best per
+    query, so that pairs of queries and documents are never shuffled.  ``among`` has the ``doc_id`` of the
+    documents that may be found; frequencies and lengths are those of the whole corpus."""
+    one = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
+    frequency = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    n = queries.count()
+    number = max(1, -(-n // block))
+    rows = weights.join(frequency, "term").select(F.pmod(F.xxhash64("query_id"), F.lit(number)).alias("_part"), "query_id", "term", (F.col("weight") * idf(F.lit(float(one["n"])), F.col("df"))).alias("weight"))
+    rows = cut(rows)
+    lean = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "tokens")
+    if among is not None:
+        lean = cut(lean.join(among.select("doc_id"), "doc_id", "left_semi"))
+    parts = []
+    for part in range(number):
+        asked = rows.where(F.col("_part") == part).select("query_id", "term", "weight").toArrow()
+        if asked.num_rows:
+            parts.append(bm25_block(lean, asked, float(one["avgdl"]), k, k1, b))
+    if not parts:
+        return lean.limit(0).select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top(out, k)
+
+
+def bm25_block(docs: DataFrame, asked: pa.Table, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
+    """Candidates ``(query_id, doc_id, score)`` of one block of queries ``(query_id, term, weight)``, the idf being in the weight."""
+    ids, query = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
+    terms = pc.unique(asked.column("term").combine_chunks())
+    term = pc.index_in(asked.column("term").combine_chunks(), terms).to_numpy()
+    order = np.argsort(term, kind="stable")
+    begin = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((ids, terms.to_pylist(), begin, query[order], asked.column("weight").to_numpy()[order]))
+
+    def scores(own: pa.Array, known: pa.Array) -> np.ndarray:
+        """A row per document, a column per query."""
+        width, start, of, weight = len(shared.value[0]), *shared.value[2:]
+        size = pc.list_value_length(own).to_numpy()
+        place = pc.fill_null(pc.index_in(own.flatten(), known), -1).to_numpy()
+        doc = np.repeat(np.arange(len(own)), size)[place >= 0]
+        pair, tf = np.unique(doc * len(known) + place[place >= 0], return_counts=True)
+        doc, place = pair // len(known), pair % len(known)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
+        many = start[place + 1] - start[place]
+        at = np.repeat(start[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(np.repeat(doc, many) * width + of[at], np.repeat(part, many) * weight[at], len(own) * width).reshape(-1, width)
+
+    def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        q, d, s = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((d, -np.round(s, 9), q))
+        q, d, s = q[order], d[order], s[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[kept], d[kept], s[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value[1], pa.string())
+        width = len(shared.value[0])
+        floor = np.zeros(width)  # the k-th best so far
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        waiting = 0
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                docs = batch.column("doc_id").to_numpy()
+                score = scores(batch.column("tokens"), known)
+                d, q = np.nonzero((score > 0) & (score >= floor - 1e-8))
+                found.append((q, docs[d], score[d, q]))
+                waiting += len(q)
+                if waiting > 4 * k * width or waiting > 4_000_000:
+                    found, waiting = [best(found)], 0
+                    count = np.bincount(found[0][0], minlength=width)
+                    last = np.cumsum(count) - 1
+                    floor = np.where(count >= k, found[0][2][np.maximum(last, 0)], 0.0)
+        q, d, s = best(found)
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][q]), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "score"])
+
+    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -164,6 +164,40 @@ def search_postfilter(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranking.filtered_top(searched(spark, d), priced(spark, d), F.expr(CHEAP), 10, "post"))
 
 
+# The same searches with every product whose id is divisible by 50 as a query, against all products.
+ITEMS_ASKED = f"(SELECT query_id, term, count(*) AS weight FROM (SELECT doc_id AS query_id, unnest(tokens) AS term FROM {NAMED} WHERE doc_id % 50 = 0) GROUP BY 1, 2)"
+ITEMS_BM25 = BM25.replace(ASKED, ITEMS_ASKED)
+ITEMS_FUSED = FUSED.replace(" WHERE query_id IN (50, 100, 150, 200, 250)", "")
+
+
+def items_searched(spark: SparkSession, d: str, k: int, among: DataFrame | None = None) -> DataFrame:
+    docs = index.corpus(table(spark, d, "product_items"), "id", "name_normalized")
+    return ranking.bm25_many(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), k, among)
+
+
+@query(f"WITH {ITEMS_BM25} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM text_scores) WHERE rank <= 10")
+def bm25_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(items_searched(spark, d, 10))
+
+
+@query(f"WITH {ITEMS_BM25}, {VECTOR}, {ITEMS_FUSED} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM fused) WHERE rank <= 10")
+def hybrid_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranking.fused(probed(spark, d, 20), items_searched(spark, d, 20), 10))
+
+
+@query(f"WITH {ITEMS_BM25} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM text_scores WHERE doc_id IN {PRICED}) WHERE rank <= 10")
+def prefilter_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(items_searched(spark, d, 10, priced(spark, d).where(CHEAP)))
+
+
+@query(
+    f"WITH {ITEMS_BM25} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, score, {TOP} AS rank FROM (SELECT *, {TOP} AS rn FROM text_scores) WHERE rn <= 200 AND doc_id IN {PRICED}) WHERE rank <= 10"
+)
+def postfilter_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    deep = items_searched(spark, d, ranking.fetch_depth(10, True))
+    return rounded(ranking.filtered_top(deep.drop("rank"), priced(spark, d), F.expr(CHEAP), 10, "post"))
+
+
 @query(f"SELECT * FROM {POSTS}")
 def postings_tf(spark: SparkSession, d: str) -> DataFrame:
     return names_index(spark, d).postings.drop("dl")

@@ -32,6 +32,19 @@ def test_index(spark, own, tmp_path):
     assert empty.stats.first().asDict() == {"n_docs": 0, "total_length": 0, "avgdl": 0.0}
 
 
+def test_bm25_of_many_queries(spark):
+    """Blocks of one query, several partitions: the same as scores of all pairs, ranked."""
+    docs = spark.createDataFrame([(i, [w for j, w in enumerate("a b c d e".split()) if i * 7 % (j + 2) == 0 for _ in range(1 + i % (j + 1))]) for i in range(60)], "doc_id long, tokens array<string>").repartition(3)
+    asked = docs.where("doc_id % 12 = 0").withColumnRenamed("doc_id", "query_id")
+    terms = asked.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    own = index.build(docs)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 8)) for r in df.collect())
+    assert key(ranking.bm25_many(docs, asked, 4, block=1)) == key(ranking.bm25(own, terms, 4)) != []
+    few = docs.where("doc_id % 3 = 1").select("doc_id")
+    assert key(ranking.bm25_many(docs, asked, 4, few)) == key(ranking.filtered_top(ranking.bm25_scores(own, terms), docs, F.expr("doc_id % 3 = 1"), 4))
+    assert ranking.bm25_many(docs, asked.limit(0), 4).count() == 0
+
+
 def test_bm25_by_formula(spark, own):
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in ranking.bm25(own, ranking.query_terms(spark, {1: "A a zz", 2: "c"})).collect()}
     idf = math.log((4 - 2 + 0.5) / (2 + 0.5) + 1)

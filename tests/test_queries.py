@@ -75,3 +75,10 @@ def test_lookup_prunes(spark, tmp_path):
     lean = QUERIES["platform_counts"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<platform:string>" in lean
     assert table(spark, FOLDER, "sources").count() == 60
+
+
+@pytest.mark.parametrize("name", ["bm25_all_queries", "hybrid_all_queries", "prefilter_all_queries", "postfilter_all_queries"])
+def test_every_fiftieth_product_is_a_query(spark, duck, name):
+    asked = duck.execute("SELECT CAST(id AS BIGINT) FROM product_items WHERE CAST(id AS BIGINT) % 50 = 0 AND trim(name_normalized) <> ''").fetchall()
+    got = {r["query_id"] for r in QUERIES[name](spark, FOLDER).select("query_id").distinct().collect()}
+    assert asked and {a for (a,) in asked} <= got
