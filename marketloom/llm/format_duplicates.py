@@ -124,20 +124,26 @@ def same_name(a: str, b: str) -> bool:
     fold = fold_table()
 
     def made_of(x: str, y: str) -> bool:
-        spans = [s for s in fields(x) if not rest_empty(x[s[0] : s[1]], 0, fold)]
-        # depth first over the unused fields; a field that fits is nearly always the only one
-        stack = [(0, tuple(range(len(spans))))]
-        tried = 0
-        while stack and tried < 10_000:
+        spans: dict[str, tuple[int, int]] = {}
+        count: dict[str, int] = {}
+        for s in fields(x):
+            if kept := "".join(chr(fold[ord(ch)]) for ch in x[s[0] : s[1]] if fold[ord(ch)]):
+                spans.setdefault(kept, s)
+                count[kept] = count.get(kept, 0) + 1
+        # depth first over the unused fields, equal ones counted; a field that fits is nearly always the only one
+        kinds = list(spans.values())
+        stack = [(0, tuple(count.values()))]
+        seen = set(stack)  # no state is tried twice, so that the search ends without a limit of steps
+        while stack:
             j, left = stack.pop()
-            tried += 1
-            if not left:
+            if not any(left):
                 if rest_empty(y, j, fold):
                     return True
                 continue
-            for k in reversed(left):
-                if (to := same_run(x, *spans[k], y, j, fold)) >= 0:
-                    stack.append((to, tuple(m for m in left if m != k)))
+            for k in reversed(range(len(kinds))):
+                if left[k] and (to := same_run(x, *kinds[k], y, j, fold)) >= 0 and (state := (to, (*left[:k], left[k] - 1, *left[k + 1 :]))) not in seen:
+                    seen.add(state)
+                    stack.append(state)
         return False
 
     end = same_run(a, 0, len(a), b, 0, fold)

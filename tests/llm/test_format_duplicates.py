@@ -17,6 +17,15 @@ def test_same_name():
     assert fd.same_name("", " -- ")
 
 
+def test_same_name_with_many_fields_that_fit():
+    """Fields that are prefixes of one another: the search tries each state once and has no limit of steps."""
+    p, q, r, t = ["ab"] * 12, ["ab" * 6 + "c"], ["de"] * 12, ["de" * 6 + "f"]
+    join = " | ".join
+    assert fd.same_name(join(p + q + t + r), join(q + p + r + t))
+    assert not fd.same_name(join(p + q + t + r), join(q + p + r + ["de" * 6 + "g"]))
+    assert not fd.same_name(join(p + q + ["xy"]), join(q + p + ["yx"]))
+
+
 def test_same_url():
     assert fd.same_url(URL, "HTTPS://A.EXAMPLE/x_p1.html/?spid=2&sku=1/#")
     assert not fd.same_url(URL, "https://a.example/x-p1.html?sku=12&spid=")
