@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 MOST_ENTRIES = 200_000
 MOST_EDITS = 2
 MEMO = 200_000
-MOST_FORMS = 24  # layers of words around one name
 LONGEST = 120  # letters of a key; longer values have no key near an entry of the list
 
 # Values that denote no entry, without accents and separators.
@@ -72,9 +71,9 @@ def accents(text: str) -> str:
 
 def undecorated(words: str) -> Iterator[str]:
     """The words, then without what sellers put before and after a name, in every amount."""
-    seen, todo = set(), [words]
-    while todo and len(seen) < MOST_FORMS:
-        w = todo.pop(0)
+    seen, todo = set(), deque([words])
+    while todo:
+        w = todo.popleft()
         if not w or w in seen:
             continue
         seen.add(w)
@@ -102,6 +101,13 @@ def deletes(key: str, most: int) -> Iterator[str]:
             yield "".join(c for i, c in enumerate(key) if i not in gone)
 
 
+def turned(split: list[str]) -> Iterator[str]:
+    """The keys of the words in every rotation, as they are first; none if they are too long."""
+    if 0 < sum(map(len, split)) <= LONGEST:
+        for i in range(len(split)):
+            yield "".join(split[i:] + split[:i])
+
+
 def edits_allowed(key: str) -> int:
     return 0 if len(key) < 3 else 1 if len(key) < 6 else MOST_EDITS
 
@@ -140,6 +146,7 @@ class Dictionary:
         self.names: dict[str, int] = {}
         self.often: dict[int, int] = {}
         self.near: dict[str, list[str]] = defaultdict(list)
+        self.longest = 0
         for i, name, often in sorted((e for e in entries if e[1] and bare(e[1])), key=lambda e: e[0]):
             words = bare(name)
             key = words.replace(" ", "")
@@ -151,6 +158,7 @@ class Dictionary:
                 for d in set(deletes(key, edits_allowed(key))):
                     self.near[d].append(key)
             self.by_key[key].append((i, accents(name)))
+            self.longest = max(self.longest, len(key))
             if " " in words:
                 self.by_words[tuple(sorted(words.split()))].add(i)
 
@@ -167,6 +175,7 @@ class Dictionary:
         tried = forms(value)
         if not tried or any(w.replace(" ", "") in NOTHING for w in tried):
             return -1
+        tried = [w for w in tried if len(w) - w.count(" ") <= self.longest + MOST_EDITS]  # longer ones are near no entry
         for words in tried:
             if (key := words.replace(" ", "")) in self.by_key:
                 return self.choose([(0.0, key)], value)
@@ -175,12 +184,7 @@ class Dictionary:
                 return next(iter(ids))
         best: list[tuple[float, str]] = []
         for words in tried:
-            split = words.split()
-            turns = [split] if len(split) < 2 or len(split) > 8 else [split[i:] + split[:i] for i in range(len(split))]
-            for t, turn in enumerate(turns):
-                key = "".join(turn)
-                if not key or len(key) > LONGEST:
-                    continue
+            for t, key in enumerate(turned(words.split())):
                 for k in {k for d in set(deletes(key, edits_allowed(key))) for k in self.near.get(d, ())}:
                     plain, weighted = distance(key, k)
                     if plain <= min(edits_allowed(key), edits_allowed(k)):
@@ -250,9 +254,8 @@ def mapped_by_join(df: DataFrame, row_id: str, column: str, reference: DataFrame
     def spread(words: str) -> set[str]:
         key, split = words.replace(" ", ""), words.split()
         out = {" ".join(sorted(split))} if len(split) > 1 else set()
-        for turn in [split[i:] + split[:i] for i in range(len(split))] if 1 < len(split) <= 8 else [split]:
-            if (k := "".join(turn)) and len(k) <= LONGEST:
-                out |= set(deletes(k, edits_allowed(k)))
+        for k in turned(split):
+            out |= set(deletes(k, edits_allowed(k)))
         return out or {key}
 
     def rank(pdf):  # one distinct value with its candidate entries

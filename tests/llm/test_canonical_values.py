@@ -20,6 +20,24 @@ def test_resolve(value, want):
     assert LOOKUP.resolve(value) == want
 
 
+def test_many_layers_and_long_rotated_names():
+    """Neither the seller's words around a name nor the number of its words are bounded."""
+    before, after = "thương hiệu nhãn hàng by mua bán hãng brand", "chính hãng official store co ltd vn giá rẻ mới cao cấp khuyến mãi"
+    assert LOOKUP.resolve(f"{before} Droverus {after}") == 2
+    assert LOOKUP.resolve(f"{before} Drocerus {after}") == 2
+    name = "Mot Hai Ba Bon Nam Sau Bay Tam Chin Muoi"
+    own = cv.Dictionary([*BRANDS, (8, name, 1)])
+    assert own.resolve("Bay Tam Chin Muoi Mot Hai Ba Bon Nam Sua") == 8
+
+
+def test_many_layers_in_a_join(spark):
+    name = "Mot Hai Ba Bon Nam Sau Bay Tam Chin Muoi"
+    reference = spark.createDataFrame([(1, "Droverus"), (8, name)], "id int, name string")
+    values = ["by mua bán hãng brand Droverus chính hãng official store co ltd vn giá rẻ", "Bay Tam Chin Muoi Mot Hai Ba Bon Nam Sua", "other"]
+    df = spark.createDataFrame(list(enumerate(values)), "record_id long, brand_raw string")
+    assert {r["record_id"]: r["ref_id"] for r in cv.mapped_by_join(df, "record_id", "brand_raw", reference).collect()} == {0: 1, 1: 8, 2: -1}
+
+
 def plain_distance(a, b):
     """Optimal string alignment, the textbook form."""
     d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
