@@ -676,6 +676,41 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return landed.html_links(one.select(page.alias("html")), "https://shop.example").select("external_url", "price")
 
 
+# The text of a link: white space of any kind is one space.
+SHOWN = "trim(regexp_replace(name, '[\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))"
+
+
+@query(
+    f"""
+    WITH links AS (
+      SELECT CASE WHEN starts_with(external_url, 'http') THEN external_url ELSE 'https://shop.example/' || external_url END AS external_url, {SHOWN} AS name, CAST(CAST(price AS BIGINT) AS DOUBLE) AS price
+      FROM crawled_products WHERE {SHOWN} <> '' AND external_url IS NOT NULL AND price >= 1000)
+    SELECT external_url, name, price FROM (SELECT *, row_number() OVER (PARTITION BY external_url ORDER BY encode(name), price) AS rn FROM links) WHERE rn = 1
+    """
+)
+def html_links_all(spark: SparkSession, d: str) -> DataFrame:
+    """The priced links of all named rows with an address, also of addresses with several names and prices."""
+    rows = table(spark, d, "crawled_products").where("name is not null and external_url is not null")
+    shown = F.coalesce(F.concat(F.translate(F.format_number(F.col("price").cast("long"), 0), ",", "."), F.lit("₫")), F.lit(""))
+    page = F.concat(F.lit('<div><a href="'), escaped("external_url"), F.lit('">'), escaped("name"), F.lit("</a> <b>"), shown, F.lit("</b></div>"))
+    return landed.html_links(rows.select(page.alias("html")), "https://shop.example").select("external_url", "name", "price")
+
+
+@query(
+    """
+    SELECT CAST(crawl_id AS VARCHAR) AS external_id, p AS price, CASE WHEN o > p THEN o END AS original_price, category
+    FROM (SELECT *, coalesce(original_price, price) AS o, CASE WHEN price > 0 THEN price ELSE coalesce(original_price, price) END AS p FROM crawled_products) WHERE p > 0
+    """
+)
+def graph_api_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row in a response of a graph API, also those without a price of their own or with one above the original."""
+    general = F.struct(F.col("crawl_id").cast("string").alias("product_id"), "name", F.col("external_url").alias("url_path"), F.col("brand").alias("manufacturer"), F.array(F.struct(F.col("category").alias("name"))).alias("categories"))
+    prices = F.struct(F.coalesce("original_price", "price").alias("price"), F.col("price").alias("special_price"), F.col("image_url").alias("thumbnail"))
+    item = F.struct(general.alias("general"), prices.alias("filterable"))
+    docs = table(spark, d, "crawled_products").select(F.to_json(F.struct(F.struct(F.array(item).alias("products")).alias("data"))).alias("value"))
+    return landed.graph_products(docs, "https://shop.example", "https://img.example").select("external_id", "price", "original_price", "category")
+
+
 @query("SELECT source_id, external_id, name, price FROM landed_products")
 def landed_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """The landed rows written as JSON lines, with blank and broken lines between, and read again."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.parse import absolute_url, digits_price, discount_percent, first_match, flatten_specs, original_if_higher, rating, sold_count
 from marketloom.functions.text import first_truthy
-from marketloom.operators.upsert import first_wins, new_rows
+from marketloom.operators.upsert import first_wins, new_rows, one_per_key
 
 RECORD = "source_id int, external_id string, external_url string, name string, price string, image_url string, brand_raw string, category_raw string, crawled_at timestamp"
 
@@ -285,7 +285,7 @@ def html_items(pages: DataFrame, selectors: list[str], base: str, html: str = "h
 
 
 def html_links(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
-    """``(external_url, name, price)`` of priced links on any page, each address once."""
+    """``(external_url, name, price)`` of priced links on any page, each address once: the smallest name, then price."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -294,7 +294,7 @@ def html_links(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
 
     raw = pages.select(html).mapInPandas(run, "href string, name string, price string")
     priced = raw.select(absolute_url(F.col("href"), base).alias("external_url"), "name", digits_price(F.col("price")).alias("price"))
-    return first_wins(priced, ["external_url"], "name")
+    return one_per_key(priced, ["external_url"], [F.col("name").asc(), F.col("price").asc()])
 
 
 def category_id(html: Column) -> Column:

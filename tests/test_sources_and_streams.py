@@ -68,6 +68,25 @@ def test_pages(spark):
     assert spark.range(1).select(landed.category_id(F.lit('<div data-category-id="12">')).alias("c")).first()["c"] == "12"
 
 
+def test_a_link_with_several_prices(spark):
+    """The smallest name, then the smallest price, whatever the order of the pages."""
+    pages = [f'<div><a href="/a">{n}</a> <b>{p}.000₫</b></div>' for n, p in [("b", 1), ("a", 9), ("a", 20), ("a", 3), ("a", 100)]]
+    for order in (pages, pages[::-1], pages[2:] + pages[:2]):
+        df = spark.createDataFrame([(p,) for p in order], "html string").coalesce(1)
+        assert [tuple(r) for r in landed.html_links(df, "https://s.example").collect()] == [("https://s.example/a", "a", 3000.0)]
+
+
+def test_queries_take_all_rows(spark, tmp_path):
+    from marketloom.plans.queries import QUERIES
+
+    rows = [(1, "b", "u", 5000.0, None), (2, "a", "u", 9000.0, 7000.0), (3, "a", "u", 8000.0, 9000.0), (4, "n", "w", None, 6000.0)]
+    df = spark.createDataFrame(rows, "crawl_id long, name string, external_url string, price double, original_price double")
+    df.selectExpr("*", "'x' AS brand", "'c' AS category", "'' AS image_url").write.parquet(f"{tmp_path}/crawled_products.parquet")
+    assert [tuple(r) for r in QUERIES["html_links_all"](spark, str(tmp_path)).collect()] == [("https://shop.example/u", "a", 8000.0)]
+    got = {tuple(r) for r in QUERIES["graph_api_all"](spark, str(tmp_path)).collect()}
+    assert got == {("1", 5000.0, None, "c"), ("2", 9000.0, None, "c"), ("3", 8000.0, 9000.0, "c"), ("4", 6000.0, None, "c")}
+
+
 def test_keywords_and_categories(spark):
     now = F.lit(dt.datetime(2025, 1, 2)).cast("timestamp")
     data = [(1, "b", "c", 1, True, ["all"], None), (2, "a", "c", 1, True, ["tiki"], dt.datetime(2025, 1, 1, 23)), (3, "z", "d", 0, True, ["lazada"], None), (4, "n", "c", 0, True, None, None), (5, "off", "c", 0, False, ["all"], None)]
