@@ -1,21 +1,24 @@
 """Records equal but for formatting (problem 2).
 
 Method: the characters of a batch stream through a skip-and-fold table (white space, punctuation
-and signs are skipped, letters fold to lower case) into hashes; no canonical string is built.
-The path of a URL and each of its parameters have a rolling polynomial hash, the parameters'
-hashes are added up, as their order is free.  The fields of a name may move and their separators
-may get lost, so the name's hash adds up a 64-bit term per character; the order is left to the
-comparison.  Rows with equal hashes are verified against one representative by a two-pointer
-comparison that skips and folds as it goes and lets fields move.
-
-Scale: one pass makes ``(id, hashes)``; counts per hash are combined before the shuffle; only rows
-whose hash occurs twice carry their texts.  Each of those is compared with one representative
-(linear in the group, never all pairs), the rows that differ go into another round.  After ROUNDS
-rounds up to AT_ONCE representatives a hash are compared at once, until no row is left.  A hot group
-is split by AQE's skew join, as only its representatives are on the other side.
-
-Defined results: rows with a null name or URL are records of their own and take no part in
-groups; an empty name equals a blank one; byte-equal rows count as copies; ties for the
+and signs are skipped, letters fold to lower case) into rolling polynomial hashes, in which a skipped
+character takes no place; no canonical string or array is built.  Each field of a name, the path of a
+URL and each of its parameters have a hash; those of the fields and of the parameters are added up, as
+their order is free.  Rows with equal hashes are verified against one representative by a two-pointer
+comparison that skips and folds as it goes.  A copy can also lose or gain a separator, which changes its
+fields; so the representatives of one URL that have the same letters (a sum over the characters) meet in a
+second comparison, in which fields may move and join.
+
+Scale: one pass makes ``(id, hashes)``; counts per hash are combined before the shuffle and only
+hashes are shuffled.  Texts move for rows whose hash occurs twice: the scan is sifted by a bitmap of
+fixed size of those rows before anything is shuffled (with far more candidates than bits it lets all rows
+pass, and the join alone decides).  Each candidate is compared with one representative
+(linear in the group, never all pairs); the second comparison sees one row per field hash.  Records that share all
+letters but differ go into further rounds, from round ROUNDS on with up to AT_ONCE representatives a hash,
+until no row is left.  A hot group is split by AQE's skew join, as only its representatives are on the other side.
+
+Defined results: rows with a null id, name or URL are records of their own and take no part in
+groups; an empty name equals a blank one; byte-equal rows count as copies, also under one id; ties for the
 representative go to the smallest id.
 """
 
@@ -33,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.functions.codepoints import TOP, mix64, pieces, segment_hash, spread64, text_column, to_codepoints
+from marketloom.functions.codepoints import TOP, mix64, pieces, powers, spread64, text_column, to_codepoints
 from marketloom.session import cut
 
-ROUNDS = 6  # records that share all hashes but differ, one after another
+BASE = 0x9E3779B97F4A7C15 | 5
+EQUALS = np.uint64(0xC2B2AE3D27D4EB4F)  # the sign between a parameter and its value
+BITS = 1 << 24  # of the bitmap that sifts rows before a join
+ROUNDS = 6  # records that share all letters but differ, one after another
 AT_ONCE = 16  # rows of a hash that later rounds take their representatives from
 
 
@@ -51,39 +57,82 @@ def fold_table() -> np.ndarray:
     return table
 
 
-def name_hashes(points: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A sum of one term per kept character, so that fields may stand in any order."""
-    folded = fold_table()[points]
+@lru_cache(None)
+def weights() -> np.ndarray:
+    """The term of every code point in a rolling hash; 0 if it is skipped."""
+    table = fold_table()
+    return np.where(table > 0, spread64(1)[table], np.uint64(0))
+
+
+@lru_cache(None)
+def marks() -> dict[str, np.ndarray]:
+    """White space, separators that need no space, and dashes and slashes that need one on both sides."""
+    space, always, spaced = (np.zeros(TOP, bool) for _ in range(3))
+    space[[c for c in range(sys.maxunicode + 1) if chr(c).isspace()]] = True
+    always[[ord(c) for c in "|;"]] = True
+    spaced[[ord(c) for c in "-/–—"]] = True
+    return {"space": space, "always": always, "spaced": spaced}
+
+
+def row_starts(at: np.ndarray) -> np.ndarray:
+    """The first places of the rows that are not empty."""
+    return at[:-1][at[:-1] < at[1:]]
+
+
+def rolled(terms: np.ndarray, kept: np.ndarray, begin: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
+    """The rolling polynomial hash of each segment; characters that are not kept take no place, a segment without any has 0."""
+    before = np.cumsum(kept) - kept
+    length = np.diff(np.append(begin, len(terms)))
+    place = before - np.repeat(before[begin], length)
+    n = np.add.reduceat(kept.astype(np.int64), begin)
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(terms * powers(BASE, 1 << max(6, int(n.max()).bit_length()))[place], begin)
+        h = mix64(h + n.astype(np.uint64) + (np.uint64(0) if salt is None else salt))
+    return np.where(n > 0, h, np.uint64(0))
+
+
+def row_sums(values: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sums of the segments' values by row, modulo 2**64."""
+    total = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        terms = np.where(folded > 0, spread64(1)[folded], np.uint64(0))
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(terms, out=total[1:], dtype=np.uint64)
-        return mix64(total[at[1:]] - total[at[:-1]])
+        np.cumsum(values, out=total[1:], dtype=np.uint64)
+        return total[np.searchsorted(begin, at[1:])] - total[np.searchsorted(begin, at[:-1])]
+
+
+def name_hashes(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each name the sum of its fields' rolling hashes, and a sum over its letters, which moved or lost separators leave as it is."""
+    if not len(points):
+        return np.zeros(len(at) - 1, np.uint64), np.zeros(len(at) - 1, np.uint64)
+    t = marks()
+    terms = weights()[points]
+    kept = fold_table()[points] > 0
+    space = t["space"][points]
+    before, after = np.append(True, space[:-1]), np.append(space[1:], True)
+    starts = row_starts(at)
+    before[starts] = True
+    after[starts[1:] - 1] = True
+    split = t["always"][points] | (points == 44) & after | t["spaced"][points] & after & before
+    split[starts] = True
+    begin = np.flatnonzero(split)
+    each = np.arange(len(points))
+    return mix64(row_sums(rolled(terms, kept, begin), begin, at)), mix64(row_sums(terms, each, at))
 
 
 def url_hashes(points: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the path and of each parameter; the parameters' are added up."""
-    out = np.zeros(len(at) - 1, np.uint64)
+    """Of each URL the sum of the rolling hashes of its path and of its parameters."""
     if not len(points):
-        return out
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        return np.zeros(len(at) - 1, np.uint64)
+    starts = row_starts(at)
     mark = points == 63
-    total = np.cumsum(mark)
-    before = np.concatenate([[0], total])[at[:-1]]
-    tail = (total - before[row]) > 0  # after the first question mark
-    split = tail & ((points == 63) | (points == 38) | (points == 59))
-    folded = fold_table()[points]
-    folded = np.where(tail & (points == 61), 61, folded)
-    segment = np.cumsum(split) + row  # grows by one at every row and at every split
-    keep = folded > 0
-    if not keep.any():
-        return out
-    folded, segment, row, tail = folded[keep], segment[keep], row[keep], tail[keep]
-    begin = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-    with np.errstate(over="ignore"):
-        h = mix64(segment_hash(folded, begin, 2) + np.where(tail[begin], np.uint64(0x5BD1E995), np.uint64(0)))
-        np.add.at(out, row[begin], h)
-    return mix64(out)
+    seen = np.cumsum(mark)
+    tail = seen > np.repeat(np.append(0, seen)[at[:-1]], np.diff(at))  # from the first question mark on
+    split = tail & (mark | (points == 38) | (points == 59))
+    split[starts] = True
+    begin = np.flatnonzero(split)
+    equal = tail & (points == 61)  # counts inside a parameter
+    terms = np.where(equal, EQUALS, weights()[points])
+    salt = np.where(tail[begin], np.uint64(0x5BD1E995), np.uint64(0))
+    return mix64(row_sums(rolled(terms, equal | (fold_table()[points] > 0), begin, salt), begin, at))
 
 
 def fields(name: str) -> list[tuple[int, int]]:
@@ -181,34 +230,58 @@ def same_url(a: str, b: str) -> bool:
 
 
 def hashed(df: DataFrame, row_id: str, name: str, url: str) -> DataFrame:
-    """``(id, hn, hu, name, url)`` of all rows that have a name and a URL."""
+    """``(id, key, fields, letters)`` of all rows that have an id, a name and a URL: the key tells rows of one id apart, the
+    other two hash the URL with the name's fields and with its letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "name"):
-            hn = name_hashes(*to_codepoints(text_column(b.column("name"))))
-            hu = url_hashes(*to_codepoints(text_column(b.column("url"))))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(hn.view(np.int64)), pa.array(hu.view(np.int64)), b.column("name"), b.column("url")], names=["id", "hn", "hu", "name", "url"])
+            own, letters = name_hashes(*to_codepoints(text_column(b.column("name"))))
+            address = url_hashes(*to_codepoints(text_column(b.column("url"))))
+            both = (mix64(h ^ (address >> np.uint64(1))).view(np.int64) for h in (own, letters))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), *map(pa.array, both)], names=["id", "key", "fields", "letters"])
+
+    return texts(df, row_id, name, url).mapInArrow(run, "id long, key long, fields long, letters long")
+
 
-    lean = df.select(F.col(row_id).cast("long").alias("id"), F.col(name).alias("name"), F.col(url).alias("url")).where("name is not null and url is not null")
-    return lean.mapInArrow(run, "id long, hn long, hu long, name string, url string")
+def texts(df: DataFrame, row_id: str, name: str, url: str) -> DataFrame:
+    lean = df.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(name, url).alias("key"), F.col(name).alias("name"), F.col(url).alias("url"))
+    return lean.where("id is not null and name is not null and url is not null")
 
 
-def compared(candidates: DataFrame) -> DataFrame:
-    """``(id, hn, hu, name, url, rep, same)``: each candidate beside the first row of its hash."""
+def sifted(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose value is not in ``wanted``: a bitmap of ``BITS`` bits in a join that has at most
+    ``BITS / 64`` rows on its broadcast side, however many values there are."""
+    place = F.pmod(F.xxhash64(column), F.lit(BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bitmap = wanted.select(word.alias("__marketloom_word"), bit.alias("b")).groupBy("__marketloom_word").agg(F.bit_or("b").alias("__marketloom_bits"))
+    marked = rows.withColumn("__marketloom_word", word).join(F.broadcast(bitmap), "__marketloom_word")
+    return marked.where(F.col("__marketloom_bits").bitwiseAND(bit) != 0).drop("__marketloom_word", "__marketloom_bits")
+
+
+def same_record(name: list[str], url: list[str], rep_name: list[str], rep_url: list[str]) -> pa.Array:
+    return pa.array([same_url(u, v) and same_name(n, m) for n, m, u, v in zip(name, rep_name, url, rep_url)], pa.bool_())
+
+
+ROW = ["id", "letters", "name", "url"]
+COMPARED = "id long, letters long, name string, url string, rep long, same boolean"
+
+
+def compared(candidates: DataFrame, by: str) -> DataFrame:
+    """``(id, letters, name, url, rep, same)``: each candidate beside the row of the smallest id with its hash ``by``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name, url, rep_name, rep_url = (b.column(c).to_pylist() for c in ("name", "url", "rep_name", "rep_url"))
-            same = [same_url(u, v) and same_name(m, n) for m, n, u, v in zip(name, rep_name, url, rep_url)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "hn", "hu", "name", "url", "rep")), pa.array(same, pa.bool_())], names=["id", "hn", "hu", "name", "url", "rep", "same"])
+            same = same_record(*(b.column(c).to_pylist() for c in ("name", "url", "rep_name", "rep_url")))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*ROW, "rep")), same], names=[*ROW, "rep", "same"])
 
-    first = candidates.groupBy("hn", "hu").agg(F.min("id").alias("rep"))
-    leaders = candidates.join(first.withColumnRenamed("rep", "id"), ["hn", "hu", "id"]).select("hn", "hu", F.col("id").alias("rep"), F.col("name").alias("rep_name"), F.col("url").alias("rep_url"))
-    return candidates.join(leaders, ["hn", "hu"]).mapInArrow(run, "id long, hn long, hu long, name string, url string, rep long, same boolean")
+    first = candidates.groupBy(by).agg(F.min("id").alias("rep"))
+    leaders = candidates.join(first.withColumnRenamed("rep", "id"), [by, "id"]).dropDuplicates([by, "id"])
+    leaders = leaders.select(by, F.col("id").alias("rep"), F.col("name").alias("rep_name"), F.col("url").alias("rep_url"))
+    return candidates.join(leaders, by).select(*ROW, "rep", "rep_name", "rep_url").mapInArrow(run, COMPARED)
 
 
 def compared_at_once(candidates: DataFrame) -> DataFrame:
-    """As :func:`compared`, with several representatives: those of the first AT_ONCE rows of a hash that
+    """As :func:`compared` by letters, with several representatives: those of the first AT_ONCE rows of a hash that
     are no copies of each other, in the order of their ids.  A row has the first one it is the same as."""
     kind = "array<struct<id: bigint, name: string, url: string>>"
 
@@ -221,39 +294,60 @@ def compared_at_once(candidates: DataFrame) -> DataFrame:
                     if not any(same_url(r["url"], k["url"]) and same_name(k["name"], r["name"]) for k in kept):
                         kept.append(r)
                 out.append(kept)
-            yield pa.RecordBatch.from_arrays([b.column("hn"), b.column("hu"), pa.array(out, b.schema.field("leaders").type)], names=["hn", "hu", "leaders"])
+            yield pa.RecordBatch.from_arrays([b.column("letters"), pa.array(out, b.schema.field("leaders").type)], names=["letters", "leaders"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 name, url, leaders = (b.column(c).to_pylist() for c in ("name", "url", "leaders"))
                 rep = [next((k["id"] for k in ks if same_url(u, k["url"]) and same_name(k["name"], n)), None) for n, u, ks in zip(name, url, leaders)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "hn", "hu", "name", "url")), pa.array(rep, pa.int64()), pa.array([r is not None for r in rep], pa.bool_())], names=["id", "hn", "hu", "name", "url", "rep", "same"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ROW), pa.array(rep, pa.int64()), pa.array([r is not None for r in rep], pa.bool_())], names=[*ROW, "rep", "same"])
 
-    order = W.partitionBy("hn", "hu").orderBy("id")
-    first = candidates.where("id is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= AT_ONCE)
-    leaders = first.groupBy("hn", "hu").agg(F.sort_array(F.collect_list(F.struct("id", "name", "url"))).alias("leaders")).mapInArrow(leading, f"hn long, hu long, leaders {kind}")
-    return candidates.join(leaders, ["hn", "hu"]).mapInArrow(run, "id long, hn long, hu long, name string, url string, rep long, same boolean")
+    order = W.partitionBy("letters").orderBy("id")
+    first = candidates.withColumn("n", F.row_number().over(order)).where(F.col("n") <= AT_ONCE)
+    leaders = first.groupBy("letters").agg(F.sort_array(F.collect_list(F.struct("id", "name", "url"))).alias("leaders")).mapInArrow(leading, f"letters long, leaders {kind}")
+    return candidates.join(leaders, "letters").select(*ROW, "leaders").mapInArrow(run, COMPARED)
 
 
-def members(df: DataFrame, row_id: str = "crawl_id", name: str = "name", url: str = "external_url") -> DataFrame:
-    """``(id, rep)`` of every row that has a copy; ``rep`` is the smallest id of its record."""
-    rows = hashed(df, row_id, name, url)
-    twice = rows.groupBy("hn", "hu").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    left = cut(rows.join(twice, ["hn", "hu"]))
+def rounds(left: DataFrame) -> list[DataFrame]:
+    """``(id, rep)`` of rows ``(id, letters, name, url)``, a part per round: all rows of a record have the smallest id among them."""
     parts: list[DataFrame] = []
     for n in itertools.count():  # each round removes at least the smallest id of every hash
-        done = cut(compared(left) if n < ROUNDS else compared_at_once(left))
+        done = cut(compared(left, "letters") if n < ROUNDS else compared_at_once(left))
         parts.append(done.where("same").select("id", "rep"))
-        left = done.where("not same").select("id", "hn", "hu", "name", "url")
+        left = done.where("not same").select(*ROW)
         if left.isEmpty():
-            break
+            return parts
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def members(df: DataFrame, row_id: str = "crawl_id", name: str = "name", url: str = "external_url") -> DataFrame:
+    """``(id, rep)`` of every row that has a copy (some rows may be alone); ``rep`` is the smallest id of its record."""
+    rows = cut(hashed(df, row_id, name, url))
+    twice = rows.groupBy("letters").agg(F.count("*").alias("n")).where("n > 1").select("letters")
+    ids = cut(sifted(rows, twice, "letters").join(twice, "letters", "left_semi"))
+    own = sifted(texts(df, row_id, name, url), ids, "id").join(ids.distinct(), ["id", "key"])
+    done = cut(compared(own, "fields"))
+    equal = done.where("same")
+    # one row per field hash, and what shared a hash by chance, meet again by their letters
+    open_ = done.where("not same or id = rep").select(*ROW).dropDuplicates(["id", "letters", "name", "url"])
+    again = open_.groupBy("letters").agg(F.count("*").alias("n")).where("n > 1").select("letters")
+    open_ = cut(open_.join(again, "letters", "left_semi"))
+    if open_.isEmpty():
+        return equal.select("id", "rep")
+    final = together(rounds(open_)).where("id <> rep")
+    moved = final.select(F.col("id").alias("rep"), F.col("rep").alias("__marketloom_rep"))
+    first = equal.select("id", "rep").join(moved, "rep", "left").select("id", F.coalesce("__marketloom_rep", "rep").alias("rep"))
+    alone = done.where("not same").select("id").join(final, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return first.unionByName(alone)
+
+
 def collapsed(df: DataFrame, row_id: str = "crawl_id", name: str = "name", url: str = "external_url") -> DataFrame:
     """One row per record: its first row's columns and ``copies``, the number of its rows (a column of
     that name is replaced)."""

@@ -59,6 +59,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return window_packing.fill(p7_containers(spark, d))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return window_packing.violations(p7_containers(spark, d))
+
+
 def names(spark: SparkSession, d: str) -> list[str]:
     return leaked_passages.lexicon(table(spark, d, "brands"), table(spark, d, "sources"))
 
@@ -96,15 +100,20 @@ runs AS (SELECT side, id, array_to_string(words[i:i + 11], ' ') AS run FROM w, u
 SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM runs d JOIN runs i ON d.run = i.run WHERE d.side = 'd' AND i.side = 'i'
 """
 # Equal letters and digits in any order and equal addresses; for anagrams at one address, which these tables do not have, it is too wide.
-P2_SQL = r"""
+P2_KEYS = r"""
 WITH c AS (
   SELECT crawl_id, list_sort(string_split(regexp_replace(lower(name), '[^\p{L}\p{N}\p{M}]', '', 'g'), '')) AS letters,
     regexp_replace(lower(string_split(external_url, '?')[1]), '[^\p{L}\p{N}]', '', 'g') AS path,
     list_sort(list_filter(list_transform(string_split(lower(coalesce(string_split(external_url, '?')[2], '')), '&'), lambda p: regexp_replace(p, '[^\p{L}\p{N}=]', '', 'g')), lambda p: p <> '')) AS tail
   FROM crawled_products WHERE name IS NOT NULL AND external_url IS NOT NULL)
-SELECT a.crawl_id AS id_a, b.crawl_id AS id_b FROM c a JOIN c b ON a.path = b.path AND a.letters = b.letters AND a.tail = b.tail AND a.crawl_id < b.crawl_id
 """
+P2_SQL = P2_KEYS + "SELECT a.crawl_id AS id_a, b.crawl_id AS id_b FROM c a JOIN c b ON a.path = b.path AND a.letters = b.letters AND a.tail = b.tail AND a.crawl_id < b.crawl_id"
+P2_RECORDS_SQL = P2_KEYS + """SELECT min(crawl_id) AS crawl_id, count(*) AS copies FROM c GROUP BY path, letters, tail
+UNION ALL SELECT crawl_id, 1 FROM crawled_products WHERE name IS NULL OR external_url IS NULL"""
+P8_ITEMS_SQL = f"SELECT item_id, count(*) AS n_docs FROM ({P8_SQL}) GROUP BY item_id"
+# What every packing must keep to: all documents, no container too full, none split that fits.
+P7_SQL = "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_too_full, CAST(0 AS BIGINT) AS n_split_needlessly, CAST(0 AS BIGINT) AS n_gaps FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p8_found": P8_SQL}
+    return {"p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL, "p7_invariants": P7_SQL, "p8_found": P8_SQL, "p8_items": P8_ITEMS_SQL}

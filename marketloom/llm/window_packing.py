@@ -186,3 +186,13 @@ def fill(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: documents, containers, tokens, and the share of the containers' space that is used."""
     each = parts.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("part") == 0).alias("docs"))
     return each.agg(F.sum("docs").alias("n_docs"), F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * capacity), 4).alias("fill"))
+
+
+def violations(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, containers over the capacity, documents split though they fit, and documents whose parts leave gaps or overlap."""
+    held = parts.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("n_too_full"))
+    each = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.countDistinct("part").alias("parts"))
+    needless = F.count_if((F.col("k") > 1) & (F.col("n") <= capacity))
+    gaps = F.count_if((F.col("n") != F.col("end")) | (F.col("k") != F.col("parts")))
+    docs = each.agg(F.count("*").alias("n_docs"), needless.alias("n_split_needlessly"), gaps.alias("n_gaps"))
+    return docs.join(held).select("n_docs", "n_too_full", "n_split_needlessly", "n_gaps")

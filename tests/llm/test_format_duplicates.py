@@ -79,3 +79,28 @@ def test_long_and_hot(spark, crawled):
     rows += [{"crawl_id": 1000 + i, "name": "dài " * 50_000 + "." * i, "external_url": URL} for i in range(2)]
     of = {r["id"]: r["rep"] for r in fd.members(crawled(rows)).collect()}
     assert len(of) == 102 and of[1001] == 1000 and {of[i] for i in range(0, 300, 3)} == {0}
+
+
+def test_field_hashes_tell_anagrams_apart():
+    """Moved fields, letter case, white space and signs leave the hashes as they are; another order of letters does not."""
+    texts = fd.text_column(fd.pa.array(["AB 12345 - 2L", "2l | ab.12345", "AB 12354 - 2L", "AB 12345 2L", "", "--", "ab12345,2L"]))
+    own, letters = fd.name_hashes(*fd.to_codepoints(texts))
+    assert own[0] == own[1] != own[2] and own[3] != own[0] and own[4] == own[5]
+    assert letters[0] == letters[1] == letters[2] == letters[3] == letters[6]
+    urls = fd.text_column(fd.pa.array([URL, "HTTPS://a.example/X_p1.html?spid=2&sku=1", "https://a.example/x-p1.html?sku=2&spid=1", "https://a.example/x-p1.html?sku1=&spid2=", "https://a.example/x-p1.htmlsku=1spid=2"]))
+    h = fd.url_hashes(*fd.to_codepoints(urls))
+    assert h[0] == h[1] and len(set(h)) == 4
+
+
+def test_repeated_and_missing_ids(spark, crawled):
+    rows = [{"crawl_id": i, "name": n, "external_url": URL} for i, n in [(1, "A | B"), (1, "A | B"), (2, "b - a"), (3, "x"), (3, "y"), (None, "A | B"), (None, "A | B"), (4, "Y.")]]
+    of = sorted((r["id"], r["rep"]) for r in fd.members(crawled(rows)).collect())
+    assert [x for x in of if x[0] in (1, 2)] == [(1, 1), (1, 1), (2, 1)] and (4, 3) in of and all(i is not None for i, _ in of)
+    out = fd.collapsed(crawled(rows)).where("crawl_id is null")
+    assert [r["copies"] for r in out.collect()] == [1, 1]
+
+
+def test_sifted_keeps_all_wanted(spark):
+    rows = spark.range(20_000).selectExpr("id", "id % 7 as other")
+    kept = fd.sifted(rows, rows.where("id % 10 = 0"), "id")
+    assert kept.columns == rows.columns and kept.where("id % 10 = 0").count() == 2000 and kept.count() < 2100
