@@ -41,7 +41,7 @@ from marketloom.session import cut
 
 BASE = 0x9E3779B97F4A7C15 | 5
 EQUALS = np.uint64(0xC2B2AE3D27D4EB4F)  # the sign between a parameter and its value
-BITS = 1 << 24  # of the bitmap that sifts rows before a join
+BITS = 1 << 26  # of the bitmap that sifts rows before a join
 ROUNDS = 6  # records that share all letters but differ, one after another
 AT_ONCE = 16  # rows of a hash that later rounds take their representatives from
 
@@ -266,18 +266,16 @@ ROW = ["id", "letters", "name", "url"]
 COMPARED = "id long, letters long, name string, url string, rep long, same boolean"
 
 
-def compared(candidates: DataFrame, by: str) -> DataFrame:
-    """``(id, letters, name, url, rep, same)``: each candidate beside the row of the smallest id with its hash ``by``."""
+def compared(candidates: DataFrame) -> DataFrame:
+    """``(id, letters, name, url, rep, same)``: each candidate beside the row that its column ``rep`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = same_record(*(b.column(c).to_pylist() for c in ("name", "url", "rep_name", "rep_url")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*ROW, "rep")), same], names=[*ROW, "rep", "same"])
 
-    first = candidates.groupBy(by).agg(F.min("id").alias("rep"))
-    leaders = candidates.join(first.withColumnRenamed("rep", "id"), [by, "id"]).dropDuplicates([by, "id"])
-    leaders = leaders.select(by, F.col("id").alias("rep"), F.col("name").alias("rep_name"), F.col("url").alias("rep_url"))
-    return candidates.join(leaders, by).select(*ROW, "rep", "rep_name", "rep_url").mapInArrow(run, COMPARED)
+    leaders = candidates.where("id = rep").groupBy("rep", "rep_key").agg(F.first("name").alias("rep_name"), F.first("url").alias("rep_url"))
+    return candidates.join(leaders, ["rep", "rep_key"]).select(*ROW, "rep", "rep_name", "rep_url").mapInArrow(run, COMPARED)
 
 
 def compared_at_once(candidates: DataFrame) -> DataFrame:
@@ -309,11 +307,16 @@ def compared_at_once(candidates: DataFrame) -> DataFrame:
     return candidates.join(leaders, "letters").select(*ROW, "leaders").mapInArrow(run, COMPARED)
 
 
+def by_smallest_id(rows: DataFrame, of: str) -> DataFrame:
+    """``rows`` with ``rep``, the smallest id of their hash ``of``."""
+    return rows.join(rows.groupBy(of).agg(F.min("id").alias("rep")), of)
+
+
 def rounds(left: DataFrame) -> list[DataFrame]:
     """``(id, rep)`` of rows ``(id, letters, name, url)``, a part per round: all rows of a record have the smallest id among them."""
     parts: list[DataFrame] = []
     for n in itertools.count():  # each round removes at least the smallest id of every hash
-        done = cut(compared(left, "letters") if n < ROUNDS else compared_at_once(left))
+        done = cut(compared(by_smallest_id(left, "letters").withColumn("rep_key", F.col("letters"))) if n < ROUNDS else compared_at_once(left))
         parts.append(done.where("same").select("id", "rep"))
         left = done.where("not same").select(*ROW)
         if left.isEmpty():
@@ -331,19 +334,21 @@ def members(df: DataFrame, row_id: str = "crawl_id", name: str = "name", url: st
     """``(id, rep)`` of every row that has a copy (some rows may be alone); ``rep`` is the smallest id of its record."""
     rows = cut(hashed(df, row_id, name, url))
     twice = rows.groupBy("letters").agg(F.count("*").alias("n")).where("n > 1").select("letters")
-    ids = cut(sifted(rows, twice, "letters").join(twice, "letters", "left_semi"))
-    own = sifted(texts(df, row_id, name, url), ids, "id").join(ids.distinct(), ["id", "key"])
-    done = cut(compared(own, "fields"))
-    equal = done.where("same")
-    # one row per field hash, and what shared a hash by chance, meet again by their letters
-    open_ = done.where("not same or id = rep").select(*ROW).dropDuplicates(["id", "letters", "name", "url"])
-    again = open_.groupBy("letters").agg(F.count("*").alias("n")).where("n > 1").select("letters")
-    open_ = cut(open_.join(again, "letters", "left_semi"))
+    ids = cut(sifted(rows, twice, "letters").join(twice, "letters", "left_semi").distinct())
+    first = ids.groupBy("fields").agg(F.min(F.struct("id", "key")).alias("r")).select("fields", F.col("r.id").alias("rep"), F.col("r.key").alias("rep_key"))
+    several = ids.groupBy("letters").agg((F.min("fields") != F.max("fields")).alias("several"))  # field hashes
+    plan = ids.join(first, "fields").join(several, "letters").select("id", "key", "letters", "rep", "rep_key", "several")
+    own = cut(sifted(texts(df, row_id, name, url), ids, "id").join(plan, ["id", "key"]))
+    done = cut(compared(own))
+    equal = done.where("same").select("id", "rep")
+    # the representatives of URLs that have one set of letters in several fields, and rows that share a hash by chance, meet again by their letters
+    leading = own.where("several and id = rep and key = rep_key").select(*ROW)
+    open_ = cut(leading.unionByName(done.where("not same").select(*ROW)))
     if open_.isEmpty():
-        return equal.select("id", "rep")
-    final = together(rounds(open_)).where("id <> rep")
+        return equal
+    final = cut(together(rounds(open_)).where("id <> rep").distinct())
     moved = final.select(F.col("id").alias("rep"), F.col("rep").alias("__marketloom_rep"))
-    first = equal.select("id", "rep").join(moved, "rep", "left").select("id", F.coalesce("__marketloom_rep", "rep").alias("rep"))
+    first = equal.join(moved, "rep", "left").select("id", F.coalesce("__marketloom_rep", "rep").alias("rep"))
     alone = done.where("not same").select("id").join(final, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return first.unionByName(alone)
 

@@ -195,4 +195,5 @@ def violations(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     needless = F.count_if((F.col("k") > 1) & (F.col("n") <= capacity))
     gaps = F.count_if((F.col("n") != F.col("end")) | (F.col("k") != F.col("parts")))
     docs = each.agg(F.count("*").alias("n_docs"), needless.alias("n_split_needlessly"), gaps.alias("n_gaps"))
-    return docs.join(held).select("n_docs", "n_too_full", "n_split_needlessly", "n_gaps")
+    one = F.lit(1).alias("one")
+    return docs.select("*", one).join(held.select("*", one), "one").select("n_docs", "n_too_full", "n_split_needlessly", "n_gaps")
