@@ -334,7 +334,8 @@ def members(df: DataFrame, row_id: str = "crawl_id", name: str = "name", url: st
     """``(id, rep)`` of every row that has a copy (some rows may be alone); ``rep`` is the smallest id of its record."""
     rows = cut(hashed(df, row_id, name, url))
     twice = rows.groupBy("letters").agg(F.count("*").alias("n")).where("n > 1").select("letters")
-    ids = cut(sifted(rows, twice, "letters").join(twice, "letters", "left_semi").distinct())
+    # an inner join, as the optimizer would run a semi join before the bitmap
+    ids = cut(sifted(rows, twice, "letters").join(twice, "letters").distinct())
     first = ids.groupBy("fields").agg(F.min(F.struct("id", "key")).alias("r")).select("fields", F.col("r.id").alias("rep"), F.col("r.key").alias("rep_key"))
     several = ids.groupBy("letters").agg((F.min("fields") != F.max("fields")).alias("several"))  # field hashes
     plan = ids.join(first, "fields").join(several, "letters").select("id", "key", "letters", "rep", "rep_key", "several")
