@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+
+from pyspark.sql import functions as F
 
 from marketloom.engine import Engine, Request
 from marketloom.session import local_session, table
@@ -18,19 +21,32 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--platforms", default="")
     p.add_argument("--min-price", type=float)
     p.add_argument("--max-price", type=float)
+    p.add_argument("--method", default="bm25", choices=["bm25", "vector", "hybrid"])
+    p.add_argument("--alpha", type=float, default=0.5)
+    p.add_argument("--vectors", help="a Parquet table (doc_id, embedding), for vector and hybrid search")
+    p.add_argument("--encoder", help="module:function that makes a query's vector, for vector and hybrid search")
     a = p.parse_args(argv)
     spark = local_session()
-    engine = Engine(table(spark, a.folder, "product_items"), path=a.index)
+    vectors = encode = None
+    if a.vectors and a.encoder:
+        module, _, name = a.encoder.partition(":")
+        vectors, encode = spark.read.parquet(a.vectors), getattr(importlib.import_module(module), name)
+    engine = Engine(table(spark, a.folder, "product_items"), vectors, encode, path=a.index)
     if a.command == "index":
         engine.build_index().stats.show()
     elif a.command == "search":
         names = [x.strip() for x in a.platforms.split(",") if x.strip()]
-        engine.search(Request(a.query, a.limit, platforms=names, min_price=a.min_price, max_price=a.max_price), "bm25").select("rank", "score", "doc_id", "name", "price", "platform").show(a.limit, False)
+        if not engine.ready(a.method):
+            p.error(f"{a.method} search needs --vectors and --encoder")
+        request = Request(a.query, a.limit, a.alpha, names, a.min_price, a.max_price)
+        engine.search(request, a.method).select("rank", "score", "doc_id", "name", "price", "platform").show(a.limit, False)
     elif a.command == "latest":
         engine.latest(a.limit).select("doc_id", "name", "price", "platform").show(a.limit, False)
     elif a.command == "quality":
         engine.quality().show()
     else:
+        shops = table(spark, a.folder, "sources").select(F.lower("name").alias("id"), "name")
+        engine.stats(table(spark, a.folder, "brands"), shops, "platform").show()
         engine.products.groupBy("platform").count().orderBy("count", ascending=False).show(100, False)
 
 

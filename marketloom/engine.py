@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import tokens
-from marketloom.operators import catalog, evaluation, filters, index, quality, ranking, stats
+from marketloom.operators import catalog, evaluation, filters, index, quality, ranking, segmentation, stats
 from marketloom.session import ship
+from marketloom.sources import vectors
 
 
 @dataclass(frozen=True)
@@ -36,16 +38,24 @@ class Engine:
     """``products`` needs id, name, name_normalized, price and platform; ``vectors`` (doc_id, embedding) and
     ``encode`` (a query's vector) are needed for vector and hybrid search only."""
 
-    def __init__(self, products: DataFrame, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, path: str | None = None, mode: str = "pre", tokenizer: Callable[[Column], Column] = tokens) -> None:
+    def __init__(self, products: DataFrame, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, path: str | None = None, mode: str = "pre", tokenizer: Callable[[Column], Column] = tokens, compounds: DataFrame | None = None) -> None:
         self.spark: SparkSession = products.sparkSession
         ship(self.spark)
         self.products = products.withColumn("doc_id", F.col("id").cast("long"))
-        self.vectors, self.encode, self.path, self.mode, self.tokenizer = vectors, encode, path, mode, tokenizer
+        self.vectors, self.encode, self.path, self.mode, self.tokenizer, self.compounds = vectors, encode, path, mode, tokenizer, compounds
 
     # --- index ------------------------------------------------------------------------------------
 
     def documents(self) -> DataFrame:
-        return index.corpus(self.products, "doc_id", "name_normalized", self.tokenizer)
+        docs = index.corpus(self.products, "doc_id", "name_normalized", self.tokenizer)
+        return docs if self.compounds is None else segmentation.segmented(docs, self.compounds)
+
+    def terms(self, r: Request) -> list[tuple[int, str, int]]:
+        """The terms of a query, segmented as the names are."""
+        if self.compounds is None:
+            return ranking.query_rows({0: r.query})
+        asked = index.corpus(self.spark.createDataFrame([(0, r.query.lower())], "id long, text string"), "id", "text", self.tokenizer)
+        return ranking.query_rows({0: " ".join(t for row in segmentation.segmented(asked, self.compounds).collect() for t in row["tokens"])})
 
     def build_index(self) -> index.Index:
         """Builds the index, on disk if the engine has a path."""
@@ -74,7 +84,8 @@ class Engine:
         return ranking.filtered_top(scores, self.products, self.condition(r), depth, self.mode)
 
     def bm25_scores(self, r: Request) -> DataFrame:
-        return ranking.bm25_scores(self.index(r.query.lower().split()), ranking.query_terms(self.spark, {0: r.query}))
+        terms = self.terms(r)
+        return ranking.bm25_scores(self.index([t for _, t, _ in terms]), terms)
 
     def vector_top(self, r: Request, depth: int) -> DataFrame:
         if self.vectors is None or self.encode is None:
@@ -98,6 +109,21 @@ class Engine:
             raise ValueError(f"no such method: {method}")
         return hits.drop("query_id").join(self.products, "doc_id").orderBy("rank")
 
+    def ready(self, method: str) -> bool:
+        return method == "bm25" or method in ("vector", "hybrid") and self.vectors is not None and self.encode is not None
+
+    def find(self, params: dict[str, str]) -> DataFrame:
+        """The search that the parameters of an address ask for: ``query, limit, method, alpha, platforms, min_price, max_price``.
+
+        Without what the method needs, or with an index that cannot be read, it is a search for names that hold the text."""
+        r, method = request_from(params), params.get("method", "hybrid")
+        if self.ready(method):
+            try:
+                return self.search(r, method)
+            except (AnalysisException, ValueError):
+                pass
+        return self.substring(r)
+
     def substring(self, r: Request) -> DataFrame:
         """Names that contain the text, without an index."""
         rows = self.products.where(filters.on_platforms(F.col("platform"), r.platforms)) if r.platforms else self.products
@@ -117,6 +143,15 @@ class Engine:
     def stats(self, brands: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
         return stats.totals(self.products, brands, sources, key)
 
+    def learn_compounds(self) -> DataFrame:
+        """The compounds of the names, to be given to an engine that segments its names and queries by them."""
+        return segmentation.compounds(index.corpus(self.products, "doc_id", "name_normalized", self.tokenizer))
+
+    def build_vectors(self, path: str, encoder: Callable[[list[str]], object], limit: int | None = None) -> DataFrame:
+        """The collection of the names' vectors, an earlier one at the path dropped; searches use it from then on."""
+        self.vectors = vectors.build(self.products, path, "doc_id", "name_normalized", encoder, limit)
+        return self.vectors
+
     def quality(self, *by: str) -> DataFrame:
         return quality.report(self.products, *by)
 

@@ -21,6 +21,32 @@ def date_text(ts: Column) -> Column:
     return F.date_format(ts, "dd/MM/yyyy")
 
 
+# The names of platforms as a page shows them.
+PLATFORM_NAMES = {
+    "shopee": "Shopee",
+    "tiki": "Tiki",
+    "lazada": "Lazada",
+    "sendo": "Sendo",
+    "dienmayxanh": "Điện Máy Xanh",
+    "thegioididong": "TGDĐ",
+    "cellphones": "CellphoneS",
+    "fptshop": "FPT Shop",
+    "nguyenkim": "Nguyễn Kim",
+    "phongvu": "Phong Vũ",
+    "gearvn": "GearVN",
+    "hasaki": "Hasaki",
+    "yes24": "Yes24",
+    "fahasa": "Fahasa",
+    "unknown": "Khác",
+}
+
+
+def platform_name(platform: Column) -> Column:
+    """A platform's name on a page: the fixed one in any case, else its first letter in upper case; 'Unknown' if there is none."""
+    names = F.create_map(*(F.lit(x) for kv in PLATFORM_NAMES.items() for x in kv))
+    return F.when(F.coalesce(platform, F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.element_at(names, F.lower(platform)), capitalized(platform)))
+
+
 def capitalized(text: Column) -> Column:
     """The first letter in upper case, the rest as it stands."""
     return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1_000_000))

@@ -91,6 +91,14 @@ def trimmed_slug(slug: Column) -> Column:
     return F.regexp_replace(slug, "^/+|/+$", "")
 
 
+def uri_component(text: Column) -> Column:
+    """Percent-encoded UTF-8 as a part of an address: all but letters, digits and - _ . ! ~ * ' ( ) is encoded."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, sign in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
 def hours_before(now: Column, hours: float) -> Column:
     return now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600))
 

@@ -125,6 +125,34 @@ def enriched(results: DataFrame, *stores: DataFrame, key: str = "doc_id", column
     return out.select(*results.columns, *chosen)
 
 
-def numbered(results: DataFrame, order: list[Column], partition: list[str] | None = None) -> DataFrame:
-    """Results with their rank numbers."""
-    return results.withColumn("number", F.row_number().over((W.partitionBy(*partition) if partition else W).orderBy(*order)))
+def overridden(results: DataFrame, products: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Products of results: a result's own name and price go before those of its product unless they are empty or 0.
+
+    Results ``(doc_id, score, name, price)`` without a product keep what they have."""
+    own = results.select(key, "score", F.col("name").alias("_name"), F.col("price").alias("_price"))
+    out = own.join(products, key, "left")
+    price = F.when((F.col("_price") != 0) & ~F.isnan("_price"), F.col("_price"))
+    return out.withColumns({"name": first_truthy(F.col("_name"), F.col("name")), "price": F.coalesce(price, F.col("price"))}).drop("_name", "_price")
+
+
+# What a console shows for a result without a product.
+NO_NAME, NO_PRICE = "Unknown (DB lookup failed)", "N/A"
+
+
+def with_placeholder(results: DataFrame, products: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``results`` with ``name`` and ``shown_price`` of their products, placeholders for those without one."""
+    known = products.select(key, F.col("name").alias("_name"), F.col("price").cast("decimal(20,2)").cast("string").alias("_price"), F.lit(True).alias("_known"))
+    out = results.join(known, key, "left")
+    show = lambda c, none: F.when(F.col("_known"), F.col(c)).otherwise(none)
+    return out.withColumns({"name": show("_name", NO_NAME), "shown_price": show("_price", NO_PRICE)}).drop("_name", "_price", "_known")
+
+
+def numbered(results: DataFrame, order: list[Column], partition: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Results with their rank numbers, per partition or of the first ``limit`` results.
+
+    One of the two is required: numbers of all rows would be one task's work."""
+    if not partition and limit is None:
+        raise ValueError("number results per partition or up to a limit")
+    first = results if limit is None or partition else results.orderBy(*order).limit(limit)
+    out = first.withColumn("number", F.row_number().over((W.partitionBy(*partition) if partition else W).orderBy(*order)))
+    return out if limit is None or not partition else out.where(F.col("number") <= limit)

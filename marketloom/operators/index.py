@@ -7,23 +7,36 @@ the few row groups whose statistics cover it.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import tokens
+from marketloom.session import delete
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, doc_id, tf[, dl])``, ``lengths(doc_id, dl)`` and one row of ``stats(n_docs, total_length, avgdl)``."""
+    """``postings(term, doc_id, tf[, dl])``, ``lengths(doc_id, dl)`` and one row of ``stats(n_docs, total_length, avgdl)``.
+
+    An index on disk also has its ``lexicon(term, df)`` and, read once, its number of documents and their mean length."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    lexicon: DataFrame | None = None
+    figures: tuple[float, float] | None = None
+
+    def size(self) -> tuple[float, float]:
+        if self.figures:
+            return self.figures
+        one = self.stats.first() or {"n_docs": 0, "avgdl": 0.0}
+        return float(one["n_docs"]), float(one["avgdl"])
 
 
 def corpus(df: DataFrame, doc_id: str, text: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -91,7 +104,40 @@ def write(index: Index, path: str, partitions: int | None = None) -> None:
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+    own = Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats", "lexicon")))
+    return replace(own, figures=own.size())
+
+
+OPENED: dict[tuple[str, str], Index] = {}
+
+
+def digest(spark: SparkSession, path: str) -> str:
+    """Of the names, lengths and times of a table's files, the same in every process."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
+def persisted(spark: SparkSession, path: str, make: Callable[[], Index]) -> Index:
+    """The index at a path, made and put there first if there is none.
+
+    It is written beside its place and moved there whole, so no reader sees a part of it; of two writers the first one stays."""
+    key = (spark.sparkContext.applicationId, path)
+    if key in OPENED:
+        return OPENED[key]
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place = jvm.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        beside = f"{path}.{uuid.uuid4().hex}"
+        write(make(), beside)
+        if fs.exists(place) or not fs.rename(jvm.Path(beside), place):
+            delete(spark, beside)
+    OPENED[key] = read(spark, path)
+    return OPENED[key]
 
 
 def lookup(index: Index, term: str) -> DataFrame:

@@ -34,6 +34,11 @@ ALIASES = {
     "thế giới di động": "thegioididong",
     "cell phones": "cellphones",
 }
+# How shops spell platforms that are asked for by their common name.
+SPELLINGS = {
+    "dienmayxanh": ["điện máy xanh"],
+    "thegioididong": ["thế giới di động"],
+}
 # Names that mean that the platform is not known.
 UNKNOWN = ["unknown", "null", "none", ""]
 
@@ -60,11 +65,7 @@ def normalized(platform: Column, url: Column, *others: Column, parts: dict[str,
 
 def expanded(names: list[str]) -> list[str]:
     """Requested platforms in lower case with the spellings that shops use."""
-    back: dict[str, list[str]] = {}
-    for spelt, name in ALIASES.items():
-        if not spelt.isascii():
-            back.setdefault(name, []).append(spelt)
-    return list(dict.fromkeys(x for n in names for x in [*back.get(n.lower(), []), n.lower()]))
+    return list(dict.fromkeys(x for n in names for x in [*SPELLINGS.get(n.lower(), []), n.lower()]))
 
 
 def matches_any(url: Column, patterns: list[str]) -> Column:
@@ -85,6 +86,59 @@ def product_pages(url: Column, platform: str) -> Column:
     return matches_any(url, PRODUCT_PAGES.get(platform, [".*"]))
 
 
+# The slugs of categories at sources that name them otherwise.
+SOURCE_SLUGS = {
+    "lazada": {
+        "dien-thoai": "dien-thoai-di-dong",
+        "tablet": "may-tinh-bang",
+        "phu-kien": "phu-kien-dien-thoai",
+        "do-gia-dung": "do-gia-dung-dien-tu",
+        "dong-ho": "thiet-bi-deo-thong-minh",
+        "may-anh": "may-anh-may-quay-phim",
+        "laptop": "laptop",
+        "tivi": "tivi",
+    },
+    "tiki": {
+        "dien-thoai": "1789",
+        "laptop": "1846",
+        "tablet": "1789",
+        "tivi": "1815",
+        "may-anh": "1882",
+        "do-gia-dung": "1883",
+        "phu-kien": "1801",
+        "dong-ho": "8594",
+    },
+    "dienmayxanh": {
+        "dien-thoai": "dien-thoai",
+        "laptop": "laptop",
+        "tablet": "may-tinh-bang",
+        "tivi": "tivi",
+        "tu-lanh": "tu-lanh",
+        "may-giat": "may-giat",
+        "do-gia-dung": "do-gia-dung",
+    },
+    "shopee": {
+        "dien-thoai": "Điện thoại",
+        "laptop": "Laptop",
+        "tablet": "Máy tính bảng",
+    },
+    "cellphones": {
+        "dien-thoai": "mobile",
+        "laptop": "laptop",
+        "tablet": "tablet",
+        "phu-kien": "phu-kien",
+        "dong-ho": "do-choi-cong-nghe/dong-ho-thong-minh",
+    },
+}
+
+
+def source_slug(slug: Column, source: Column) -> Column:
+    """A category's slug at the source of each row, itself where the source has no other."""
+    pairs = [(f"{s}\n{a}", b) for s, own in SOURCE_SLUGS.items() for a, b in own.items()]
+    names = F.create_map(*(F.lit(x) for kv in pairs for x in kv))
+    return F.coalesce(F.element_at(names, F.concat_ws("\n", source, slug)), slug)
+
+
 def mapped_slug(slug: Column, mapping: dict[str, str]) -> Column:
     """A category's slug at a source, itself where the mapping has none."""
     if not mapping:

@@ -7,6 +7,7 @@ or after it with over-fetching ('post').
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +25,25 @@ OVER_FETCH, MOST_FETCHED = 20, 1000
 MOST_LITERALS = 1000
 
 
-def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
+def query_rows(queries: dict[int, str]) -> list[tuple[int, str, int]]:
     """``(query_id, term, weight)`` of lower-cased queries; a repeated term weighs as often as it occurs."""
-    rows = [(q, t) for q, text in queries.items() for t in text.lower().split()]
-    return spark.createDataFrame(rows, "query_id int, term string").groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    return [(q, t, n) for q, text in queries.items() for t, n in Counter(text.lower().split()).items()]
+
+
+def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
+    """The same as a table; it is part of the plan, so reading it runs no job."""
+    rows = query_rows(queries)
+    kinds = (pa.int32(), pa.string(), pa.int64())
+    return spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], kinds[k]) for k, c in enumerate(("query_id", "term", "weight"))}))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def term_score(tf: Column, dl: Column, n: Column, avgdl: Column, df: Column, k1: float = K1, b: float = B) -> Column:
-    return idf(n, df) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avgdl))
+def term_score(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """The part of a term's score that its document decides; the other factor is the idf."""
+    return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
 def top(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -44,22 +52,28 @@ def top(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(index: Index, terms: DataFrame | list[tuple[int, str, int]], k1: float = K1, b: float = B) -> DataFrame:
     """``(query_id, doc_id, score)`` of every document with a query term; a missing length counts as 0.
 
+    ``terms`` are the rows of :func:`query_rows` or a table of such.  Up to MOST_LITERALS rows become literals that reach the
+    scan, so that only row groups with the terms are read; a longer table is joined, and its size decides how.
     The document frequencies are those of the whole corpus."""
-    wanted = [r["term"] for r in terms.select("term").distinct().collect()]  # as many as the request has
-    if len(wanted) <= MOST_LITERALS:  # reaches the scan, so that only row groups with the terms are read
-        asked = index.postings.where(F.col("term").isin(wanted))
+    spark = index.postings.sparkSession
+    rows = terms if isinstance(terms, list) else [tuple(r) for r in terms.select("query_id", "term", "weight").limit(MOST_LITERALS + 1).collect()]
+    few = len(rows) <= MOST_LITERALS
+    table = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("query_id", pa.int64()), ("term", pa.string()), ("weight", pa.int64())))})) if few or isinstance(terms, list) else terms
+    wanted = F.col("term").isin(sorted({r[1] for r in rows})) if few else None
+    asked = index.postings.where(wanted) if few else index.postings.join(table.select("term").distinct(), "term", "left_semi")
+    if index.lexicon is not None:
+        df = index.lexicon.where(wanted) if few else index.lexicon
     else:
-        asked = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    one = index.stats.first() or {"n_docs": 0, "avgdl": 0.0}
-    n, avgdl = F.lit(float(one["n_docs"])), F.lit(float(one["avgdl"]))
-    hits = asked.join(F.broadcast(df), "term").join(F.broadcast(terms), "term")  # both have a row per term of the request
+        df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    n, avgdl = map(F.lit, index.size())
+    weighted = table.join(df, "term").select("query_id", "term", (F.col("weight") * idf(n, F.col("df"))).alias("weight"))
+    hits = asked.join(F.broadcast(weighted) if few else weighted, "term")  # a row per term of the request
     if "dl" not in hits.columns:
         hits = hits.join(index.lengths, "doc_id", "left")
-    each = term_score(F.col("tf"), F.coalesce("dl", F.lit(0)), n, avgdl, F.col("df"), k1, b) * F.col("weight")
+    each = term_score(F.col("tf"), F.coalesce("dl", F.lit(0)), avgdl, k1, b) * F.col("weight")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(each).alias("score"))
 
 
@@ -185,21 +199,37 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 def nearest_block(vectors: DataFrame, ids: list[int], probes: list[list[float]], k: int) -> DataFrame:
-    """Candidates ``(query_id, doc_id, score)`` of one block of queries: the best ``k`` of every batch."""
+    """Candidates ``(query_id, doc_id, score)`` of one block of queries: the best ``k`` of every task, kept while its batches pass."""
     shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), unit(np.array(probes, np.float64)).T))
 
+    def best(found: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        q, d, s = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((d, -np.round(s, 9), q))
+        q, d, s = q[order], d[order], s[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return [(q[first], d[first], s[first])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, probe = shared.value
+        floor = np.full(len(query), -2.0)  # the k-th best so far
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for b in batches:
             if not b.num_rows:
                 continue
             column = b.column("embedding")
             own = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             docs = b.column("doc_id").to_numpy()
-            score = unit(own) @ probe
-            order = np.lexsort((np.broadcast_to(docs[:, None], score.shape), -np.round(score, 9)), axis=0)[:k]
-            which = np.broadcast_to(np.arange(len(query)), order.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(query[which].ravel()), pa.array(docs[order].ravel()), pa.array(score[order, which].ravel())], names=["query_id", "doc_id", "score"])
+            score = np.round(unit(own) @ probe, 12)
+            if len(score) > k:  # the k best of each column, and what ties with the last of them
+                least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
+                d, q = np.nonzero(score >= np.maximum(least, floor)[None, :] - 2e-9)
+            else:
+                d, q = np.nonzero(score >= floor[None, :] - 2e-9)
+            kept = best([*kept, (q, docs[d], score[d, q])])
+            count = np.bincount(kept[0][0], minlength=len(query))
+            floor = np.where(count >= k, kept[0][2][np.maximum(np.cumsum(count) - 1, 0)], -2.0)
+        q, d, s = kept[0]
+        yield pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "score"])
 
     lean = vectors.where("embedding is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
     return lean.mapInArrow(run, "query_id long, doc_id long, score double")

@@ -41,6 +41,12 @@ def completed_windows(logs: DataFrame, now, key: str, status: str = "status", en
     )
 
 
+def run_totals(runs: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """One row: products and errors of all runs ``(source, products, errors)`` of some sources, 0 without any."""
+    own = runs if sources is None else runs.where(F.col("source").isin(sources))
+    return own.agg(F.coalesce(F.sum("products"), F.lit(0)).alias("total_products"), F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"))
+
+
 def per_source(frames: dict[str, DataFrame]) -> DataFrame:
     """``(source, status, n, error)`` of a query over several sources; one that cannot be read is reported, not fatal."""
     rows = []

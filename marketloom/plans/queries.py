@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import display, parse, text
 from marketloom.operators import catalog, crawl_state, evaluation, filters, index, platforms, quality, ranking, skewed_keys, stats, tree, unit_conversion, upsert
-from marketloom.session import reliable_dir, table
+from marketloom.plans.registry import oracle_sql, queries, query  # noqa: F401
+from marketloom.session import reliable_dir, scratch, table
 from marketloom.sources import landed
 from marketloom.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with the SQL it is checked against, if SQL can express it."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
 
 @query(
     """
@@ -103,21 +85,27 @@ FUSED = f"""
 
 
 def names_index(spark: SparkSession, d: str) -> index.Index:
+    """The index of the product names, made of them here."""
     return index.build(index.corpus(table(spark, d, "product_items"), "id", "name_normalized"))
 
 
-def searched(spark: SparkSession, d: str) -> DataFrame:
-    """The scores of all searches; only the postings of their terms are ever counted."""
-    docs = index.corpus(table(spark, d, "product_items"), "id", "name_normalized")
-    terms = [t for q in SEARCHES.values() for t in q.split()]
-    own = index.Index(index.postings(docs, terms, with_length=True), index.lengths(docs), index.stats(docs))
-    return ranking.bm25_scores(own, ranking.query_terms(spark, SEARCHES))
+def stored_index(spark: SparkSession, d: str) -> index.Index:
+    """The index of the product names on disk, written once for a table as it is."""
+    path = f"{reliable_dir(spark)}/names-index-{index.digest(spark, f'{d}/product_items.parquet')}"
+    return index.persisted(spark, path, lambda: names_index(spark, d))
 
 
-def probed(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """The nearest vectors of every vector whose id is divisible by 50."""
+def searched(spark: SparkSession, d: str, of: list[int] | None = None) -> DataFrame:
+    """The scores of some or all searches, from the postings of their terms on disk."""
+    asked = {q: t for q, t in SEARCHES.items() if of is None or q in of}
+    return ranking.bm25_scores(stored_index(spark, d), ranking.query_rows(asked))
+
+
+def probed(spark: SparkSession, d: str, k: int, of: list[int] | None = None) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 50, or of some vectors."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return ranking.nearest(vectors, vectors.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), k)
+    asked = vectors.where("doc_id % 50 = 0") if of is None else vectors.where(F.col("doc_id").isin(of))
+    return ranking.nearest(vectors, asked.withColumnRenamed("doc_id", "query_id"), k)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -126,7 +114,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM text_scores WHERE query_id = 50) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ranking.top(searched(spark, d).where("query_id = 50"), 10)).drop("query_id")
+    return rounded(ranking.top(searched(spark, d, [50]), 10)).drop("query_id")
 
 
 @query(f"WITH {BM25} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM text_scores) WHERE rank <= 10")
@@ -141,7 +129,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25}, {VECTOR}, {FUSED} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM fused) WHERE rank <= 10")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ranking.fused(probed(spark, d, 20).where(F.col("query_id").isin(list(SEARCHES))), ranking.top(searched(spark, d), 20), 10))
+    return rounded(ranking.fused(probed(spark, d, 20, list(SEARCHES)), ranking.top(searched(spark, d), 20), 10))
 
 
 CHEAP = "price <= 500000"
@@ -223,9 +211,7 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, tf FROM {POSTS} WHERE term = 'điện'")
 def index_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A term's postings from an index on disk."""
-    path = f"{reliable_dir(spark)}/names-index-{abs(hash(d))}"
-    index.write(names_index(spark, d), path)
-    return index.lookup(index.read(spark, path), "điện")
+    return index.lookup(stored_index(spark, d), "điện")
 
 
 @query(f"SELECT term, doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM {POSTS} GROUP BY 1, 2")
@@ -541,10 +527,10 @@ def sold_count_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawled_products").select("crawl_id", parse.sold_count(written).alias("sold"))
 
 
-@query("SELECT crawl_id, CASE WHEN crawl_id % 2 = 0 THEN (CAST(round(rating * 20) AS INT) / 100.0) * 5 WHEN rating <= 5 THEN rating END AS stars FROM crawled_products WHERE rating IS NOT NULL")
+@query("SELECT crawl_id, CASE WHEN crawl_id % 2 = 0 THEN (CAST(round(rating * 20) AS INT) / 100.0) * 5 WHEN rating <= 5 THEN rating END AS stars FROM crawled_products")
 def rating_parse(spark: SparkSession, d: str) -> DataFrame:
     written = F.when(F.col("crawl_id") % 2 == 0, F.concat(F.lit("width: "), F.round(F.col("rating") * 20).cast("int").cast("string"), F.lit("%"))).otherwise(F.col("rating").cast("string"))
-    return table(spark, d, "crawled_products").where("rating is not null").select("crawl_id", parse.rating(written).alias("stars"))
+    return table(spark, d, "crawled_products").select("crawl_id", parse.rating(written).alias("stars"))
 
 
 @query("SELECT crawl_id, CASE WHEN original_price > price AND price > 0 THEN CAST(floor((original_price - price) / original_price * 100 + 0.5) AS INT) ELSE 0 END AS off, CASE WHEN original_price > price THEN original_price END AS original FROM crawled_products")
@@ -576,12 +562,12 @@ def slug_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawled_products").select("crawl_id", parse.slug_id(F.col("external_url")).alias("slug"))
 
 
-@query("SELECT crawl_id, external_url AS url FROM crawled_products WHERE external_url IS NOT NULL AND regexp_matches(external_url, '^https://[^/]+/')")
+@query("SELECT crawl_id, CASE crawl_id % 4 WHEN 0 THEN external_url WHEN 1 THEN 'https:' || regexp_replace(external_url, '^https:', '') WHEN 2 THEN 'https://x.example' || regexp_replace(external_url, '^https://[^/]+', '') ELSE 'https://x.example/' || regexp_replace(external_url, '^https://[^/]+/', '') END AS url FROM crawled_products WHERE external_url IS NULL OR regexp_matches(external_url, '^https://[^/]+/') UNION ALL SELECT crawl_id, NULL FROM crawled_products WHERE NOT regexp_matches(external_url, '^https://[^/]+/')")
 def absolute_url(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses taken apart into base and path and joined again."""
-    rows = table(spark, d, "crawled_products").where("external_url is not null and external_url rlike '^https://[^/]+/'")
-    host = F.regexp_extract("external_url", "^https:(//[^/]+)", 1)
-    return rows.select("crawl_id", parse.absolute_url(F.concat(host, F.regexp_replace("external_url", "^https://[^/]+", "")), "https://x.example").alias("url"))
+    """Addresses as pages write them: whole, without the scheme, from the root, relative; those of another form are given as none."""
+    url, kind = F.when(F.col("external_url").rlike("^https://[^/]+/"), F.col("external_url")), F.col("crawl_id") % 4
+    bare = F.when(kind == 0, url).when(kind == 1, F.regexp_replace(url, "^https:", "")).when(kind == 2, F.regexp_replace(url, "^https://[^/]+", "")).otherwise(F.regexp_replace(url, "^https://[^/]+/", ""))
+    return table(spark, d, "crawled_products").select("crawl_id", parse.absolute_url(bare, "https://x.example").alias("url"))
 
 
 @query("SELECT DISTINCT external_url AS loc FROM (SELECT external_url FROM crawled_products UNION ALL SELECT external_url FROM product_items UNION ALL SELECT external_url FROM landed_products) WHERE external_url <> ''")
@@ -606,13 +592,12 @@ def specs_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Specifications grouped as shops send them, flattened to a map, one row per entry."""
     entries = F.transform(F.map_entries("specs"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
     groups = F.array(F.struct(entries.alias("attributes")))
-    return table(spark, d, "crawled_products").where("specs is not null").select("crawl_id", F.explode(parse.flatten_specs(groups)).alias("key", "value"))
+    return table(spark, d, "crawled_products").select("crawl_id", F.explode(parse.flatten_specs(groups)).alias("key", "value"))
 
 
 @query("SELECT doc_id, trim(x) AS part FROM (SELECT doc_id, unnest(string_split(title, ' ')) AS x FROM documents WHERE title IS NOT NULL)")
 def csv_parts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("title is not null")
-    return rows.select("doc_id", F.explode(parse.csv_list(F.regexp_replace("title", " ", " , "))).alias("part"))
+    return table(spark, d, "documents").select("doc_id", F.explode(parse.csv_list(F.regexp_replace("title", " ", " , "))).alias("part"))
 
 
 @query("SELECT crawl_id, CASE WHEN price IS NULL OR price = 0 THEN 'Liên hệ' ELSE replace(format('{:,}', CAST(round(price) AS BIGINT)), ',', '.') || ' ₫' END AS shown FROM crawled_products")
@@ -627,9 +612,13 @@ def compact_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawled_products").select("crawl_id", display.compact_number(F.col("sold_count")).alias("shown"))
 
 
-@query("SELECT id, CASE WHEN platform IS NULL OR platform = '' THEN platform ELSE upper(platform[1]) || platform[2:] END AS shown FROM product_items")
+NAMES = "CASE lower(platform) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.PLATFORM_NAMES.items()) + " ELSE upper(platform[1]) || platform[2:] END"
+
+
+@query(f"SELECT id, CASE WHEN coalesce(platform, '') = '' THEN 'Unknown' ELSE {NAMES} END AS shown FROM (SELECT id, platform FROM product_items UNION ALL SELECT 'x' || row_number() OVER (), p FROM unnest(['TIKI', 'dienmayxanh', 'thegioididong', 'Unknown', 'chợ lạ', '', NULL]) AS t(p))")
 def platform_display(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "product_items").select("id", display.capitalized(F.col("platform")).alias("shown"))
+    more = spark.createDataFrame([(f"x{n}", p) for n, p in enumerate(["TIKI", "dienmayxanh", "thegioididong", "Unknown", "chợ lạ", "", None], 1)], "id string, platform string")
+    return table(spark, d, "product_items").select("id", "platform").unionByName(more).select("id", display.platform_name(F.col("platform")).alias("shown"))
 
 
 @query("SELECT record_id, strftime(crawled_at, '%d/%m/%Y') AS shown FROM landed_products")
@@ -651,29 +640,18 @@ def escaped(c: str) -> Column:
 def sitemap_parse(spark: SparkSession, d: str) -> DataFrame:
     """Every address in a sitemap of its own, parsed again."""
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), escaped("external_url"), F.lit("</loc></url></urlset>"))
-    docs = table(spark, d, "crawled_products").where("external_url is not null").select("crawl_id", xml.alias("value"))
-    locs = F.expr("xpath(value, '/*[local-name()=\"urlset\"]/*[local-name()=\"url\"]/*[local-name()=\"loc\"]/text()')")
-    return docs.select("crawl_id", F.explode(locs).alias("loc")).select("crawl_id", F.trim("loc").alias("loc")).where("loc <> ''")
+    docs = table(spark, d, "crawled_products").select("crawl_id", xml.alias("value"))
+    return landed.sitemap_texts(docs).select("crawl_id", "loc")
 
 
-@query("SELECT CAST(crawl_id AS VARCHAR) AS external_id, price FROM crawled_products WHERE price > 0 AND name IS NOT NULL AND trim(name) <> '' AND external_url IS NOT NULL")
+@query("SELECT CAST(crawl_id AS VARCHAR) AS external_id, CAST(CAST(price AS BIGINT) AS DOUBLE) AS price FROM crawled_products WHERE abs(trunc(price)) > 0 AND regexp_matches(name, '[^\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')".replace("CAST(CAST(price AS BIGINT)", "CAST(CAST(abs(trunc(price)) AS BIGINT)"))
 def html_items(spark: SparkSession, d: str) -> DataFrame:
     """Every product in a listing page of its own, parsed again."""
-    rows = table(spark, d, "crawled_products").where("name is not null and external_url is not null")
     page = F.concat(
-        F.lit('<div class="list"><li class="item" data-id="'), F.col("crawl_id"), F.lit('"><a href="'), escaped("external_url"), F.lit('"><h3>'), escaped("name"),
-        F.lit('</h3></a><strong class="price">'), F.col("price").cast("long").cast("string"), F.lit("₫</strong></li></div>"),
+        F.lit('<div class="list"><li class="item" data-id="'), F.col("crawl_id"), F.lit('"><a href="'), F.coalesce(escaped("external_url"), F.lit("")), F.lit('"><h3>'), F.coalesce(escaped("name"), F.lit("")),
+        F.lit('</h3></a><strong class="price">'), F.coalesce(F.col("price").cast("long").cast("string"), F.lit("")), F.lit("₫</strong></li></div>"),
     )
-    return landed.html_items(rows.select(page.alias("html")), ["li.product[data-id]", "li.item[data-id]"], "https://shop.example").select("external_id", "price")
-
-
-@query("SELECT CASE WHEN starts_with(external_url, 'http') THEN external_url ELSE 'https://shop.example/' || external_url END AS external_url, max(CAST(CAST(price AS BIGINT) AS DOUBLE)) AS price FROM crawled_products WHERE name IS NOT NULL AND trim(name) <> '' AND external_url IS NOT NULL AND price >= 1000 GROUP BY crawled_products.external_url HAVING count(DISTINCT price) = 1")
-def html_links(spark: SparkSession, d: str) -> DataFrame:
-    """Priced links found without a selector; addresses with one price."""
-    one = table(spark, d, "crawled_products").where("name is not null and external_url is not null and price >= 1000").groupBy("external_url").agg(F.min("price").alias("price"), F.max("price").alias("top"), F.min("name").alias("name")).where("price = top")
-    shown = F.translate(F.format_number(F.col("price").cast("long"), 0), ",", ".")
-    page = F.concat(F.lit('<div><a href="'), escaped("external_url"), F.lit('">x '), escaped("name"), F.lit("</a> <b>"), shown, F.lit("₫</b></div>"))
-    return landed.html_links(one.select(page.alias("html")), "https://shop.example").select("external_url", "price")
+    return landed.html_items(table(spark, d, "crawled_products").select(page.alias("html")), ["li.product[data-id]", "li.item[data-id]"], "https://shop.example").select("external_id", "price")
 
 
 # The text of a link: white space of any kind is one space.
@@ -688,11 +666,11 @@ SHOWN = "trim(regexp_replace(name, '[\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}
     SELECT external_url, name, price FROM (SELECT *, row_number() OVER (PARTITION BY external_url ORDER BY encode(name), price) AS rn FROM links) WHERE rn = 1
     """
 )
-def html_links_all(spark: SparkSession, d: str) -> DataFrame:
+def html_links(spark: SparkSession, d: str) -> DataFrame:
     """The priced links of all named rows with an address, also of addresses with several names and prices."""
-    rows = table(spark, d, "crawled_products").where("name is not null and external_url is not null")
+    rows = table(spark, d, "crawled_products")
     shown = F.coalesce(F.concat(F.translate(F.format_number(F.col("price").cast("long"), 0), ",", "."), F.lit("₫")), F.lit(""))
-    page = F.concat(F.lit('<div><a href="'), escaped("external_url"), F.lit('">'), escaped("name"), F.lit("</a> <b>"), shown, F.lit("</b></div>"))
+    page = F.concat(F.lit("<div><a"), F.coalesce(F.concat(F.lit(' href="'), escaped("external_url"), F.lit('"')), F.lit("")), F.lit(">"), F.coalesce(escaped("name"), F.lit("")), F.lit("</a> <b>"), shown, F.lit("</b></div>"))
     return landed.html_links(rows.select(page.alias("html")), "https://shop.example").select("external_url", "name", "price")
 
 
@@ -702,7 +680,7 @@ def html_links_all(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, coalesce(original_price, price) AS o, CASE WHEN price > 0 THEN price ELSE coalesce(original_price, price) END AS p FROM crawled_products) WHERE p > 0
     """
 )
-def graph_api_all(spark: SparkSession, d: str) -> DataFrame:
+def graph_api(spark: SparkSession, d: str) -> DataFrame:
     """Every row in a response of a graph API, also those without a price of their own or with one above the original."""
     general = F.struct(F.col("crawl_id").cast("string").alias("product_id"), "name", F.col("external_url").alias("url_path"), F.col("brand").alias("manufacturer"), F.array(F.struct(F.col("category").alias("name"))).alias("categories"))
     prices = F.struct(F.coalesce("original_price", "price").alias("price"), F.col("price").alias("special_price"), F.col("image_url").alias("thumbnail"))
@@ -714,7 +692,7 @@ def graph_api_all(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source_id, external_id, name, price FROM landed_products")
 def landed_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """The landed rows written as JSON lines, with blank and broken lines between, and read again."""
-    path = f"{reliable_dir(spark)}/lines-{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     rows = table(spark, d, "landed_products")
     line = F.to_json(F.struct("source_id", "external_id", "external_url", "name", "price", "image_url", "brand_raw", "category_raw", "crawled_at"))
     lines = rows.select(F.explode(F.array(line, F.lit(""), F.lit('{"source_id": 1, "name": '))).alias("value"))
@@ -730,23 +708,12 @@ def paged_api(spark: SparkSession, d: str) -> DataFrame:
     return landed.paged_products(docs, "https://shop.example").select("external_id", "price", "original_price", "sold_count", "review_count")
 
 
-@query("SELECT CAST(crawl_id AS VARCHAR) AS external_id, price, CASE WHEN original_price > price THEN original_price END AS original_price, category FROM crawled_products WHERE price > 0 AND (original_price IS NULL OR original_price >= price)")
-def graph_api(spark: SparkSession, d: str) -> DataFrame:
-    """Every product in a response of a graph API, parsed again."""
-    general = F.struct(F.col("crawl_id").cast("string").alias("product_id"), "name", F.col("external_url").alias("url_path"), F.col("brand").alias("manufacturer"), F.array(F.struct(F.col("category").alias("name"))).alias("categories"))
-    prices = F.struct(F.coalesce("original_price", "price").alias("price"), F.col("price").alias("special_price"), F.col("image_url").alias("thumbnail"))
-    item = F.struct(general.alias("general"), prices.alias("filterable"))
-    rows = table(spark, d, "crawled_products").where("price > 0 and (original_price is null or original_price >= price)")
-    docs = rows.select(F.to_json(F.struct(F.struct(F.array(item).alias("products")).alias("data"))).alias("value"))
-    return landed.graph_products(docs, "https://shop.example", "https://img.example").select("external_id", "price", "original_price", "category")
-
-
-@query("SELECT CAST(crawl_id AS VARCHAR) AS external_id, CAST(CAST(price AS BIGINT) AS DOUBLE) AS price, CAST(crawl_id % 7 AS DOUBLE) AS rating FROM crawled_products WHERE price >= 1")
+@query("SELECT CAST(crawl_id AS VARCHAR) AS external_id, CAST(CAST(abs(trunc(price)) AS BIGINT) AS DOUBLE) AS price, CAST(crawl_id % 7 AS DOUBLE) AS rating FROM crawled_products WHERE abs(trunc(price)) > 0")
 def ajax_api(spark: SparkSession, d: str) -> DataFrame:
     """Every product in an ajax response of strings, parsed again."""
     item = F.struct(F.lit("").alias("itemId"), F.col("crawl_id").cast("string").alias("nid"), "name", F.concat(F.translate(F.format_number(F.col("price").cast("long"), 0), ",", "."), F.lit(" ₫")).alias("price"), (F.col("crawl_id") % 7).cast("string").alias("ratingScore"), F.col("external_url").alias("itemUrl"))
-    docs = table(spark, d, "crawled_products").where("price >= 1").select(F.to_json(F.struct(F.struct(F.array(item).alias("listItems")).alias("mods"))).alias("value"))
-    return landed.ajax_products(docs.unionByName(docs.limit(1).select(F.lit("<html>blocked").alias("value"))), "https://shop.example").select("external_id", "price", "rating")
+    docs = table(spark, d, "crawled_products").select(F.to_json(F.struct(F.struct(F.array(item).alias("listItems")).alias("mods"))).alias("value"))
+    return landed.ajax_products(docs.unionByName(spark.createDataFrame([("<html>blocked",), (None,)], "value string")), "https://shop.example").select("external_id", "price", "rating")
 
 
 @query("SELECT CAST(crawl_id AS VARCHAR) AS external_id, 'https://ads.example/' || crawl_id || '.htm' AS external_url, price FROM crawled_products WHERE price > 0")
@@ -864,16 +831,16 @@ def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream, counted per day and type; the complete result after all of it."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(event_folder(spark, d))
-    counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    path = f"{reliable_dir(spark)}/windowed-{uuid.uuid4().hex}"
-    writer = counts.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n").writeStream.outputMode("complete")
+    counts = ingest.windowed_counts(stream, "ts", "event_type", "1 day")
+    path = scratch(spark, "windowed")
+    writer = counts.select(F.unix_micros("start").alias("start_us"), "event_type", "n").writeStream.outputMode("complete")
     ingest.run_once(lambda: writer.foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(path + "/out")), path + "/checkpoint")
     return spark.read.parquet(path + "/out")
 
 
 def event_folder(spark: SparkSession, d: str) -> str:
     """A folder with the events for a file stream, which reads folders only."""
-    path = f"{reliable_dir(spark)}/events-{uuid.uuid4().hex}"
+    path = scratch(spark, "events")
     table(spark, d, "events").write.parquet(path)
     return path
 
@@ -881,28 +848,22 @@ def event_folder(spark: SparkSession, d: str) -> str:
 @query("SELECT record_id, source_id, external_id, price FROM landed_products QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY record_id DESC) = 1")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The landed rows as micro-batches, upserted one by one."""
-    base = f"{reliable_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    base = scratch(spark, "upsert")
     rows = table(spark, d, "landed_products").select("record_id", "source_id", "external_id", "price")
-    rows.repartitionByRange(4, "record_id").sortWithinPartitions("record_id").write.parquet(base + "/in")
+    middle = rows.agg(F.expr("(min(record_id) + max(record_id)) div 2")).first()[0] or 0
+    for part in (F.col("record_id") <= middle, F.col("record_id") > middle):  # files are read in the order they were written
+        rows.where(part).repartition(2, "source_id", "external_id").write.mode("append").parquet(base + "/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(base + "/in")
     ingest.run_once(lambda: ingest.upsert_batches(stream, base + "/out", ["source_id", "external_id"], "record_id"), base + "/checkpoint")
-    return upsert.last_wins(spark.read.parquet(base + "/out").drop("epoch", "_epoch"), ["source_id", "external_id"], "record_id")
+    return ingest.current(spark, base + "/out", ["source_id", "external_id"])
 
 
 @query(f"SELECT * FROM {POSTS}")
 def stream_index(spark: SparkSession, d: str) -> DataFrame:
     """An inverted index kept by micro-batches."""
-    base = f"{reliable_dir(spark)}/index-{uuid.uuid4().hex}"
+    base = scratch(spark, "index-parts")
     docs = index.corpus(table(spark, d, "product_items"), "id", "name_normalized")
     docs.repartition(4, "doc_id").write.parquet(base + "/in")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(base + "/in")
     ingest.run_once(lambda: ingest.index_batches(stream, base + "/out"), base + "/checkpoint")
     return index.merged(spark.read.parquet(base + "/out").drop("part"))
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +21,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -58,6 +61,26 @@ def reliable_dir(spark: SparkSession) -> str:
     return shared
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it is deleted when the driver ends, as lazy results may still read it."""
+    path = f"{reliable_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone
+            pass
+
+    atexit.register(clear)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later stages never recompute it."""
     reliable_dir(df.sparkSession)

@@ -146,12 +146,13 @@ def sitemap_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sitemap_texts(documents: DataFrame) -> DataFrame:
-    """``(kind, loc)`` of whole XML documents in column ``value``: those of an index if it is one, else those of the url set."""
+    """``(kind, loc)`` and the other columns of whole XML documents in column ``value``: those of an index if it is one, else those of the url set."""
     of_index = F.expr("xpath(value, '/*[local-name()=\"sitemapindex\"]/*[local-name()=\"sitemap\"]/*[local-name()=\"loc\"]/text()')")
     of_set = F.expr("xpath(value, '/*[local-name()=\"urlset\"]/*[local-name()=\"url\"]/*[local-name()=\"loc\"]/text()')")
     kind = F.when(F.size(of_index) > 0, "index").otherwise("urls")
     locs = F.when(F.size(of_index) > 0, of_index).otherwise(of_set)
-    return documents.select(kind.alias("kind"), F.explode(locs).alias("loc")).select("kind", F.trim("loc").alias("loc")).where("loc <> ''")
+    others = [c for c in documents.columns if c not in ("value", "kind", "loc")]
+    return documents.select(*others, kind.alias("kind"), F.explode(locs).alias("loc")).withColumn("loc", F.trim("loc")).where("loc <> ''")
 
 
 def distinct_urls(*sets: DataFrame) -> DataFrame:
@@ -173,15 +174,19 @@ class Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.all: list[dict] = []
         self.open: list[int] = []
+        self.end: list[int] = []  # the number of the first element after each one's inner elements; 0 while it is open
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.all.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": [], "up": self.open[-1] if self.open else -1})
+        self.end.append(len(self.all) if tag in self.VOID else 0)
         if tag not in self.VOID:
             self.open.append(len(self.all) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.all[self.open[k]]["tag"] == tag:
+                for i in self.open[k:]:
+                    self.end[i] = len(self.all)
                 del self.open[k:]
                 return
 
@@ -204,12 +209,9 @@ def chosen(page: Elements, selector: str) -> list[int]:
     ]
 
 
-def within(page: Elements, i: int, root: int) -> bool:
-    while i >= 0:
-        if i == root:
-            return True
-        i = page.all[i]["up"]
-    return False
+def inside(page: Elements, i: int) -> range:
+    """An element and those inside it; one that was never closed reaches to the end of the page."""
+    return range(i, page.end[i] or len(page.all))
 
 
 def page_items(html: str, selectors: list[str]) -> list[dict]:
@@ -219,7 +221,7 @@ def page_items(html: str, selectors: list[str]) -> list[dict]:
     for selector in selectors:
         out = []
         for i in chosen(page, selector):
-            inner = [j for j in range(i, len(page.all)) if within(page, j, i)]
+            inner = inside(page, i)
             attrs = page.all[i]["attrs"]
             link = next((page.all[j]["attrs"] for j in inner if page.all[j]["tag"] == "a" and page.all[j]["attrs"].get("href")), {})
             image = next((page.all[j]["attrs"] for j in inner if page.all[j]["tag"] == "img"), {})
@@ -297,9 +299,27 @@ def html_links(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
     return one_per_key(priced, ["external_url"], [F.col("name").asc(), F.col("price").asc()])
 
 
-def category_id(html: Column) -> Column:
-    """A category id somewhere in a page, by the first of some patterns."""
-    return first_match(html, [r"data-category-id=[\"']?([0-9]+)", r"categoryId[\"']?\s*[:=]\s*[\"']?([0-9]+)", r"cateid[\"']?\s*[:=]\s*[\"']?([0-9]+)", r"/c([0-9]+)"])
+# Where pages of sources state a category id, in the order they are tried.
+CATEGORY_IDS = {
+    "cellphones": [
+        r'"currentCategoryId"\s*:\s*"?([0-9]+)"?',
+        r'"categoryId"\s*:\s*"?([0-9]+)"?',
+        r'category_id\\?"\s*:\s*\\?"?([0-9]+)\\?"?',
+        r'"id"\s*:\s*([0-9]+),\s*"name"[^}]+Mobile',
+    ],
+    "dienmayxanh": [
+        r"\bcateID\s*=\s*[\"']?([1-9][0-9]*)",
+        r"<[^>]*\bid=[\"']?hdCateId[\"']?[^>]*\bvalue=[\"']?([^\"'\s>]+)",
+        r"<[^>]*\bvalue=[\"']?([^\"'\s>]+)[\"']?[^>]*\bid=[\"']?hdCateId\b",
+        r'class="[^"]*__cate_([0-9]+)',
+    ],
+}
+CATEGORY_IDS["thegioididong"] = CATEGORY_IDS["dienmayxanh"]
+
+
+def category_id(html: Column, source: str = "cellphones") -> Column:
+    """The category id that a page of a source states, by the first of its patterns that matches, else null."""
+    return first_match(html, CATEGORY_IDS.get(source, CATEGORY_IDS["cellphones"]))
 
 
 # --- keywords and categories --------------------------------------------------------------------

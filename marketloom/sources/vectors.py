@@ -18,6 +18,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def create(spark: SparkSession, path: str, doc_type: str = "long") -> DataFrame:
+    """The collection at a path, made empty if there is none."""
+    if not exists(spark, path):
+        spark.createDataFrame([], f"doc_id {doc_type}, name string, embedding array<float>").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def scanned(df: DataFrame, doc_id: str, text: str, limit: int | None = None) -> DataFrame:
+    """``(doc_id, name)`` of the rows with a text, the first ``limit`` by id if one is given."""
+    out = df.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("name"))
+    return out if limit is None else out.orderBy("doc_id").limit(limit)
+
+
+def build(df: DataFrame, path: str, doc_id: str, text: str, encoder: Callable[[list[str]], np.ndarray], limit: int | None = None) -> DataFrame:
+    """Drops the collection at a path and makes it anew from the texts of a table."""
+    spark = df.sparkSession
+    drop(spark, path)
+    create(spark, path)
+    encoded(scanned(df, doc_id, text, limit), "doc_id", "name", encoder).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

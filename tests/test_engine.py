@@ -55,3 +55,22 @@ def test_command_line(spark, capsys, tmp_path):
     main(["index", "/root/testdata/sf0.001", "--index", str(tmp_path / "i")])
     main(["search", "/root/testdata/sf0.001", "nồi cơm điện", "--index", str(tmp_path / "i"), "--limit", "3"])
     assert "nồi cơm" in capsys.readouterr().out.lower()
+
+
+def test_find_and_vectors(engine, spark, tmp_path):
+    engine.build_index()
+    assert ids(engine.find({"query": "Tivi", "method": "bm25", "limit": "2"})) == [4, 1]
+    assert ids(engine.find({"query": "tivi xanh", "alpha": "0"}))[0] == 2
+    assert [r["doc_id"] for r in engine.find({"query": "TIVI", "method": "odd", "max_price": "6"}).collect()] == [1, 4]
+    bare = Engine(engine.products, path=str(tmp_path / "nothing"))
+    assert [r["doc_id"] for r in bare.find({"query": "nồi", "method": "bm25"}).collect()] == [3]  # no index there
+    made = engine.build_vectors(str(tmp_path / "v"), lambda t: [[len(x), 1.0] for x in t], limit=2)
+    assert sorted(r["doc_id"] for r in made.collect()) == [1, 2] and made.columns == ["doc_id", "name", "embedding"]
+
+
+def test_compounds_in_names_and_queries(spark):
+    rows = [(str(i), f"máy giặt {c}", f"máy giặt {c}", 1.0, "tiki") for i, c in enumerate("abcdef")] + [("9", "giặt máy", "giặt máy", 1.0, "tiki")]
+    products = spark.createDataFrame([(*r, None, None, None, None, None, None, None) for r in rows], COLUMNS)
+    own = Engine(products, compounds=Engine(products).learn_compounds())
+    assert [t for _, t, _ in own.terms(Request("Máy giặt b"))] == ["máy_giặt", "b"]
+    assert ids(own.search(Request("máy giặt b"), "bm25"))[0] == 1 and 9 not in ids(own.search(Request("máy giặt"), "bm25"))

@@ -249,3 +249,67 @@ def test_unit_conversion(spark):
     assert {k[0] for k in got} & {2001, 2002} == set()
     assert unit_conversion.found(df.limit(0)).count() == 0
     assert unit_conversion.flagged(spark.createDataFrame([(1, None, {"Power": "7"}, None)], df.drop("quantity").schema)).first()["posterior"] == 0.0
+
+
+def test_deep_trees_and_cycles(spark):
+    """A tree of 30 levels; rows in a cycle hang below no top and are in no tree; an id met again on its own path ends."""
+    deep = [(i, f"n{i}", i - 1 if i else None) for i in range(30)] + [(100, "a", 101), (101, "b", 100)]
+    out = {r["id"]: r for r in tree.flattened(spark.createDataFrame(deep, "id int, name string, parent_id int")).collect()}
+    assert len(out) == 30 and out[29]["depth"] == 29 and list(out[29]["path"]) == list(range(30))
+    again = spark.createDataFrame([(1, "a", None), (2, "b", 1), (1, "a", 2)], "id int, name string, parent_id int")
+    assert sorted(r["depth"] for r in tree.flattened(again).collect()) == [0, 1]
+    assert tree.flattened(spark.createDataFrame([], "id int, name string, parent_id int")).count() == 0
+
+
+def test_nested_categories_of_any_depth(spark):
+    kind = "id int, name string, slug string, level int"
+    for n in range(4, -1, -1):
+        kind = f"id int, name string, slug string, level int, children array<struct<{kind}>>" if n else kind
+    node = (5, "e", "e", 4)
+    for i in range(4, 0, -1):
+        node = (i, chr(96 + i), chr(96 + i), i - 1, [node])
+    rows = tree.from_nodes(spark.createDataFrame([node], kind)).select("id", "parent_id").collect()
+    assert sorted((r[0], r[1] or 0) for r in rows) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_persisted_index(spark, tmp_path):
+    """Written once, whole; the scan of a search gets the terms and reads no text."""
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["c", "c"])], "doc_id long, tokens array<string>")
+    made = []
+    own = lambda: index.persisted(spark, f"{tmp_path}/i", lambda: made.append(1) or index.build(docs))
+    first, second = own(), own()
+    assert len(made) == 1 and first is second and first.figures == (3.0, 5 / 3)
+    got = {tuple(r) for r in ranking.top(ranking.bm25_scores(first, ranking.query_rows({7: "A a c"})), 5).select("query_id", "doc_id", "rank").collect()}
+    want = {tuple(r) for r in ranking.top(ranking.bm25_scores(index.build(docs), ranking.query_terms(spark, {7: "A a c"})), 5).select("query_id", "doc_id", "rank").collect()}
+    assert got == want and len(got) == 3
+    plan = ranking.bm25_scores(first, ranking.query_rows({7: "a"}))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,a)" in plan or "In(term" in plan
+
+
+def test_many_query_terms_are_joined(spark):
+    docs = spark.createDataFrame([(i, [f"t{i}", f"t{i + 1}"]) for i in range(1500)], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([(i, f"t{i}", 1) for i in range(1400)], "query_id int, term string, weight int")
+    assert ranking.bm25_scores(index.build(docs), asked).count() == 2 * 1400 - 1
+
+
+def test_segmentation(spark):
+    from marketloom.operators import segmentation
+
+    docs = spark.createDataFrame([(i, ["máy", "giặt", w]) for i, w in enumerate(["xanh", "đỏ", "tím", "vàng", "nâu", "lục"])] + [(50, []), (51, ["máy", "may"])], "doc_id long, tokens array<string>")
+    pairs = segmentation.compounds(docs, 5, 0.4)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [("máy", "giặt")]
+    out = {r["doc_id"]: list(r["tokens"]) for r in segmentation.segmented(docs, pairs).collect()}
+    assert out[0] == ["máy_giặt", "xanh"] and out[50] == [] and out[51] == ["máy", "may"] and len(out) == 8
+
+
+def test_numbers_need_a_bound(spark):
+    with pytest.raises(ValueError):
+        catalog.numbered(spark.range(3).toDF("id"), [F.col("id")])
+    assert [r["number"] for r in catalog.numbered(spark.range(9).toDF("id"), [F.col("id").desc()], limit=2).collect()] == [1, 2]
+
+
+def test_nearest_keeps_ties_in_order(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(60)], "doc_id long, embedding array<float>")
+    probe = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in ranking.nearest(vectors, probe, 4).collect()}
+    assert [got[0, k] for k in (1, 2, 3, 4)] == [0, 3, 6, 9] and [got[1, k] for k in (1, 2, 3, 4)] == [2, 5, 8, 11]

@@ -65,7 +65,7 @@ def test_pages(spark):
     assert got == [("7", "https://s.example/tv-7.html", "TV & X", 15990000.0, "https://i/x.jpg", None), ("9", "https://h/b-9.html", "Nồi cơm", 1290000.0, None, 4.0)]
     links = spark.createDataFrame([('<div><a href="/a">Tivi</a><span>1.000.000 ₫</span></div><a href="/b">' + "dài " * 300 + "2.000.000đ</a>",)], "html string")
     assert [tuple(r) for r in landed.html_links(links, "https://s.example").collect()] == [("https://s.example/a", "Tivi", 1000000.0)]
-    assert spark.range(1).select(landed.category_id(F.lit('<div data-category-id="12">')).alias("c")).first()["c"] == "12"
+    assert spark.range(1).select(landed.category_id(F.lit('{"categoryId": 12}')).alias("c")).first()["c"] == "12"
 
 
 def test_a_link_with_several_prices(spark):
@@ -77,13 +77,14 @@ def test_a_link_with_several_prices(spark):
 
 
 def test_queries_take_all_rows(spark, tmp_path):
-    from marketloom.plans.queries import QUERIES
+    from marketloom.plans.queries import queries
 
+    own = queries()
     rows = [(1, "b", "u", 5000.0, None), (2, "a", "u", 9000.0, 7000.0), (3, "a", "u", 8000.0, 9000.0), (4, "n", "w", None, 6000.0)]
     df = spark.createDataFrame(rows, "crawl_id long, name string, external_url string, price double, original_price double")
     df.selectExpr("*", "'x' AS brand", "'c' AS category", "'' AS image_url").write.parquet(f"{tmp_path}/crawled_products.parquet")
-    assert [tuple(r) for r in QUERIES["html_links_all"](spark, str(tmp_path)).collect()] == [("https://shop.example/u", "a", 8000.0)]
-    got = {tuple(r) for r in QUERIES["graph_api_all"](spark, str(tmp_path)).collect()}
+    assert [tuple(r) for r in own["html_links"](spark, str(tmp_path)).collect()] == [("https://shop.example/u", "a", 8000.0)]
+    got = {tuple(r) for r in own["graph_api"](spark, str(tmp_path)).collect()}
     assert got == {("1", 5000.0, None, "c"), ("2", 9000.0, None, "c"), ("3", 8000.0, 9000.0, "c"), ("4", 6000.0, None, "c")}
 
 
