@@ -3,17 +3,20 @@
 Method: noisy-channel decoding.  A token may have come through a channel: UTF-8 read as one of
 several code pages (once or repeatedly), Vietnamese Windows text read as a western code page, or
 such text read as UTF-8 with its letters lost.  Under each channel its characters are a lattice of
-bytes, with wildcards where a byte was lost; the readings of the lattice are scored by the word
-frequencies of the whole corpus, a token's own spelling being one of them.  A Viterbi search over
-the tokens of a document, with a cost for changing the channel, restores the damaged spans.
+bytes, with wildcards where a byte was lost; each pass of the channel makes a lattice of characters of it.
+A Viterbi search takes the cheapest way through a lattice: words cost what they are rare in the whole
+corpus, a run that is no word of the corpus costs most, signs that correct text seldom has cost something.  A second one runs over the tokens
+of a document, whose own spelling is one of the channels, with a cost for entering a channel.  Its
+path decides: a document is found if it changes a token, and the path is the restored text.
 
 Scale: one pass counts words (combined per slice before the shuffle), one finds tokens with a
 second reading.  Tables scan for lead and continuation characters over code-point arrays, so
-only damaged documents reach the token code.  Readings are joined with the counts once per distinct token,
-verdicts are joined back on the token; nothing is collected, AQE splits tokens that very many
-documents share.
+only damaged documents reach the token code.  Words of readings are joined with the counts once per distinct
+token; where bytes are lost, the words that would look like the damaged place are joined on that look, so no reading is
+listed and none is left out.  Verdicts are joined back on the token; texts move only for found documents that are to be
+restored; nothing is collected, AQE splits tokens that very many documents share.
 
-Defined results: null and empty texts are never found; correct letters of other languages, capitals
+Defined results: null and empty texts are never found, nor are rows without an id; correct letters of other languages, capitals
 before quotes or dots, and foreign words stay, as their own spelling is the likelier word; text
 with replacement or C1 control characters is found even if no reading restores it; documents
 landed twice are found twice.
@@ -26,6 +29,7 @@ import math
 import re
 import sys
 import unicodedata as ud
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,17 +42,13 @@ from marketloom.functions.codepoints import TOP, any_in_row, pieces, segment_has
 from marketloom.session import cut
 
 CODE_PAGES = ("cp1252", "cp1258", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "cp1250")
-DEPTH = 3  # times that text went through the same channel
-READINGS = 4096  # readings of a token with lost bytes; each lost byte has at most eight
-CHANNEL_COST = 4.0
-LONG_GAIN = 6.0  # two or more continuation characters in their places hardly ever come by chance
-SWITCH_COST = 2.5
+CHANNEL_COST = 4.0  # of each span of tokens that came through a channel
+TOKEN_COST = 0.8  # of each token that is changed, by pass; a sign less in a reading is worth little more
+LONG_GAIN = 6.0  # more than one continuation character a pass in their places hardly ever comes by chance
 SIGN_COST = 8.0
 LOST = "�"
 # Signs that correct text uses.
 SIGNS = set("“”‘’‚„–—‒…€₫°«»·•§©®™×½²³£¥ ​‌‍﻿")
-VIETNAMESE = "aàáảãạăằắẳẵặâầấẩẫậeèéẻẽẹêềếểễệiìíỉĩịoòóỏõọôồốổỗộơờớởỡợuùúủũụưừứửữựyỳýỷỹỵđ"
-PLAUSIBLE = set(VIETNAMESE + VIETNAMESE.upper() + "".join(map(chr, range(0xC0, 0x100))) + "œŒšŠžŽłŁ") | SIGNS | set("¡¿¢¬ª º".replace(" ", ""))
 # The marks of Vietnamese Windows text and the western letters that stand in their place.
 MARKS = {"̀": "Ì", "̉": "Ò", "̃": "Þ", "́": "ì", "̣": "ò"}
 
@@ -67,43 +67,136 @@ def inverse(page: str) -> tuple[dict[str, int], tuple[int, ...]]:
     return out, tuple(lost)
 
 
-def unread(token: str, page: str) -> list[str]:
-    """The readings of a token as UTF-8 that was read as ``page``; none if nothing can be decoded.
+@lru_cache(None)
+def printable(ch: str) -> bool:
+    """Whether correct text may hold a character: any that is assigned but controls."""
+    return ud.category(ch) not in ("Cc", "Cn", "Co", "Cs")
+
+
+Lattice = dict[int, list[tuple[int, str]]]  # node -> arcs (to, character); nodes are places in the token, its end is the last
+
+
+def chain(token: str) -> Lattice:
+    return {i: [(i + 1, ch)] for i, ch in enumerate(token)}
+
 
-    A lost byte stands for each byte that the page has no character for.  Of a token with so many
-    lost bytes that the readings exceed ``READINGS`` (fewer for long tokens) the rest keep the first choice."""
+def decoded(arcs: Lattice, end: int, page: str) -> Lattice | None:
+    """The lattice that comes of reading the characters' bytes in ``page`` as UTF-8, None if nothing can be decoded.
+
+    A lost byte stands for each byte that the page has no character for.  An arc that begins a whole sequence is
+    replaced by what the sequence stands for, others stay."""
     to, lost = inverse(page)
     spare = tuple(b for b in lost if 0x80 <= b < 0xC0)
-    n = len(token)
-    most = max(1, min(READINGS, 2_000_000 // max(n, 1)))
-    done: dict[str, None] = {}
-    todo: list[tuple[int, list[str], bool]] = [(0, [], False)]
-    while todo and len(done) < most:
-        i, text, decoded = todo.pop()
-        while i < n:
-            lead = to.get(token[i], 0)
+
+    def tails(i: int, n: int) -> Iterator[tuple[int, bytes]]:
+        if not n:
+            yield i, b""
+            return
+        for j, ch in arcs.get(i, ()):
+            for b in spare if ch == LOST else (to[ch],) if 0x80 <= to.get(ch, 0) < 0xC0 else ():
+                for k, rest in tails(j, n - 1):
+                    yield k, bytes([b]) + rest
+
+    out: Lattice = {}
+    any_ = False
+    seen, todo = {0}, [0]
+    while todo:
+        i = todo.pop()
+        made: dict[tuple[int, str], None] = {}
+        for j, ch in arcs.get(i, ()):
+            lead = to.get(ch, 0)
             size = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
-            options = []
-            if size and i + size <= n:
-                tail = [spare if c == LOST else (to[c],) if 0x80 <= to.get(c, 0) < 0xC0 else () for c in token[i + 1 : i + size]]
-                for rest in itertools.product(*tail):
-                    try:
-                        ch = bytes([lead, *rest]).decode()
-                    except UnicodeDecodeError:
-                        continue
-                    if ch in PLAUSIBLE or ch in to:  # what a second pass can still decode is fine
-                        options.append(ch)
-            if options:
-                todo += [(i + size, [*text, ch], True) for ch in options[:0:-1]]
-                text.append(options[0])
-                decoded = True
-                i += size
-            else:
-                text.append(token[i])
-                i += 1
-        if decoded:
-            done["".join(text)] = None
-    return list(done)
+            whole = False
+            for k, rest in tails(j, size - 1) if size else ():
+                try:
+                    c = (bytes([lead]) + rest).decode()
+                except UnicodeDecodeError:
+                    continue
+                if printable(c) or c in to:  # what a second pass can still decode is fine
+                    made[k, c] = None
+                    whole = any_ = True
+            if not whole:
+                made[j, ch] = None
+        out[i] = sorted(made)
+        for j, _ in made:
+            if j not in seen and j < end:
+                seen.add(j)
+                todo.append(j)
+    if not any_:
+        return None
+    alive = {end}
+    for i in sorted(out, reverse=True):
+        out[i] = [a for a in out[i] if a[0] in alive]
+        if out[i]:
+            alive.add(i)
+    return {i: a for i, a in out.items() if a}
+
+
+def lattices(token: str, page: str) -> Iterator[Lattice]:
+    """The lattices of a token after one pass of a code page, two, and so on until nothing can be decoded."""
+    arcs: Lattice | None = chain(token)
+    while (arcs := decoded(arcs, len(token), page)) is not None:
+        yield arcs
+
+
+def only_text(arcs: Lattice, end: int) -> str | None:
+    """The text of a lattice with one way through, else None."""
+    i, out = 0, []
+    while i < end:
+        if len(arcs[i]) > 1:
+            return None
+        i, ch = arcs[i][0]
+        out.append(ch)
+    return "".join(out)
+
+
+def spells(arcs: Lattice, end: int, text: str) -> bool:
+    """Whether a text is one of the ways through a lattice."""
+    at = {0}
+    for ch in text:
+        at = {j for i in at for j, c in arcs.get(i, ()) if c == ch}
+    return end in at
+
+
+def is_letter(ch: str) -> bool:
+    return ch.isalpha() or "\u0300" <= ch <= "\u036f"
+
+
+def slots(arcs: Lattice, end: int) -> dict[tuple[int, int], str]:
+    """Where a word may stand in a lattice, and its first spelling: from a place where one can begin over letters to a place where one can end."""
+    begins = {0} | {j for a in arcs.values() for j, ch in a if not is_letter(ch)}
+    ends = {end} | {i for i, a in arcs.items() if any(not is_letter(ch) for _, ch in a)}
+    out: dict[tuple[int, int], str] = {}
+    for i in sorted(begins):
+        best = {i: ""}
+        for k in sorted(x for x in arcs if x >= i):
+            if k in best:
+                for j, ch in arcs[k]:
+                    if is_letter(ch) and j not in best:
+                        best[j] = best[k] + ch
+        out |= {(i, j): w for j, w in best.items() if j in ends and w}
+    return out
+
+
+def cheapest(arcs: Lattice, end: int, known: dict[tuple[int, int], tuple[str, float]], rare: float) -> tuple[float, str]:
+    """The Viterbi way through a lattice: ``known`` has the likeliest word and its cost by slot; other runs of letters cost ``rare``."""
+    steps: dict[int, list[tuple[int, float, str]]] = {}
+    for (i, j), first in slots(arcs, end).items():
+        word, cost = known.get((i, j), (first, rare))
+        steps.setdefault(i, []).append((j, cost, word))
+    for i, a in arcs.items():
+        signs = [(sign_cost(ch), ch, j) for j, ch in a if not is_letter(ch)]
+        steps.setdefault(i, []).extend((j, cost, ch) for cost, ch, j in sorted(signs))
+    best: dict[tuple[int, bool], tuple[float, str]] = {(0, False): (0.0, "")}  # place, whether a word ends there
+    for i in sorted(steps):
+        for j, cost, text in steps[i]:
+            word = is_letter(text[0])
+            for before in (False, True):
+                if (i, before) in best and not (word and before):  # a word does not follow a word
+                    was = best[i, before]
+                    if (j, word) not in best or was[0] + cost < best[j, word][0]:
+                        best[j, word] = (was[0] + cost, was[1] + text)
+    return min(best[k] for k in ((end, False), (end, True)) if k in best)
 
 
 @lru_cache(None)
@@ -120,22 +213,25 @@ def windows_letters() -> dict[int, str]:
     return out
 
 
-def readings(token: str) -> list[tuple[str, str]]:
-    """``(channel, text)`` of all second readings of a token."""
-    out: dict[str, str] = {}
+def readings(token: str) -> Iterator[tuple[str, str | None, Lattice | None]]:
+    """``(channel, text, lattice)`` of all second readings of a token; the text is None where lost bytes leave a choice."""
+    seen = {token}
     for page in CODE_PAGES:
-        level = [token]
-        for depth in range(1, DEPTH + 1):
-            level = list(dict.fromkeys(t for x in level for t in unread(x, page)))[:READINGS]
-            if not level:
-                break
-            for t in level:
-                out.setdefault(t, f"{page}*{depth}" if depth > 1 else page)
+        for depth, arcs in enumerate(lattices(token, page), 1):
+            text = only_text(arcs, len(token))
+            if text is None or text not in seen:
+                seen.add(text)
+                yield f"{page}*{depth}", text, None if text is not None else arcs
     other = ud.normalize("NFC", token.translate(windows_letters()))
-    if other != token:
-        out.setdefault(other, "vietnamese")
-    out.pop(token, None)
-    return [(c, t) for t, c in out.items()]
+    if other not in seen:
+        yield "vietnamese", other, None
+
+
+def garbled(word: str, page: str, depth: int) -> str:
+    """How a word looks after so many passes of a channel; bytes without a character are lost."""
+    for _ in range(depth):
+        word = word.encode().decode(page, "replace")
+    return word
 
 
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
@@ -145,9 +241,29 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def sign_cost(ch: str) -> float:
+    """The cost of a sign that correct text seldom has."""
+    return 0.0 if ch <= "\x7f" else SIGN_COST if ch not in SIGNS else 1.0 if ud.category(ch) != "Cf" else 1.5
+
+
+@lru_cache(100_000)
+def script(ch: str) -> str:
+    """The script of a letter, '' of a mark: the first word of its name."""
+    return "LATIN" if ch < "\u0250" else "" if ud.category(ch)[0] == "M" else ud.name(ch, "").partition(" ")[0]
+
+
+def is_latin(ch: str) -> bool:
+    return script(ch) in ("LATIN", "")
+
+
 def odd_signs(text: str) -> float:
-    """The cost of signs that correct text seldom has."""
-    return sum(1.0 if c in SIGNS else SIGN_COST for c in WORD.sub("", text) if c > "\x7f")
+    """The cost of a text's signs, and of letters that differ in script from most of their word."""
+    foreign = 0
+    if not text.isascii():
+        for w in WORD.findall(text):
+            scripts = Counter(filter(None, map(script, w)))
+            foreign += sum(scripts.values()) - max(scripts.values(), default=0)
+    return sum(map(sign_cost, WORD.sub("", text))) + SIGN_COST * foreign
 
 
 @lru_cache(None)
@@ -164,8 +280,11 @@ def scan_tables() -> dict[str, np.ndarray]:
         if not 0xD800 <= c < 0xE000 and ud.category(ch := chr(c))[0] in "LM":
             low = ch.lower()
             lower[c] = ord(low) if len(low) == 1 else c
-    good = np.zeros(1 << 16, bool)
-    good[[ord(c) for c in PLAUSIBLE]] = True
+    good = np.array([c >= 0x80 and printable(chr(c)) for c in range(1 << 16)])
+    good[0x80:0xA0] = True  # what a second pass can still decode
+    other = np.array([ud.category(chr(c))[0] == "L" and not is_latin(chr(c)) for c in range(1 << 16)])
+    ascii_letter = np.zeros(TOP, bool)
+    ascii_letter[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
     vowel = np.zeros(TOP, bool)
     vowel[[ord(c) for c in "aeioyAEIOYâêôãõýÂÊÔÃÕÝ"]] = True
     mark = np.zeros(TOP, bool)
@@ -175,23 +294,29 @@ def scan_tables() -> dict[str, np.ndarray]:
     broken = np.zeros(TOP, bool)
     broken[0x80:0xA0] = True
     broken[ord(LOST)] = True
-    return {"bytes": bytes_of, "lower": lower, "good": good, "vowel": vowel, "mark": mark, "sure": sure, "broken": broken}
+    return {"bytes": bytes_of, "lower": lower, "good": good, "other": other, "ascii": ascii_letter, "vowel": vowel, "mark": mark, "sure": sure, "broken": broken}
 
 
 def sequences(points: np.ndarray) -> np.ndarray:
-    """Where a sequence begins that some code page makes of a plausible character in UTF-8."""
+    """Where a sequence begins that some code page makes of an assigned character in UTF-8; a letter of another script does not
+    stand beside a plain Latin one."""
     t = scan_tables()
     hit = np.zeros(len(points), bool)
     high = np.flatnonzero((points[:-1] > 0x7F) & (points[1:] > 0x7F))
     if len(high):
         a, b = points[high], points[high + 1]
-        c = points[np.minimum(high + 2, len(points) - 1)]
+        before = t["ascii"][points[np.maximum(high - 1, 0)]]
+        c, d = points[np.minimum(high + 2, len(points) - 1)], points[np.minimum(high + 3, len(points) - 1)]
         for table in t["bytes"]:
             x, y, z = table[a].astype(np.int32), table[b].astype(np.int32), table[c].astype(np.int32)
             tail = (y >> 6) == 2
-            two = (x >= 0xC2) & (x < 0xE0) & tail & t["good"][(x & 31) << 6 | y & 63]
-            three = (x >= 0xE1) & (x < 0xF0) & tail & ((z >> 6) == 2) & (t["good"][(x & 15) << 12 | (y & 63) << 6 | z & 63] | (c == 0xFFFD) | (b == 0xFFFD))
-            hit[high[two | three]] = True
+            third = tail & ((z >> 6) == 2)
+            made2, made3 = (x & 31) << 6 | y & 63, (x & 15) << 12 | (y & 63) << 6 | z & 63
+            two = (x >= 0xC2) & (x < 0xE0) & tail & t["good"][made2] & ~(t["other"][made2] & (before | t["ascii"][c]))
+            fits = t["good"][made3] & ~(t["other"][made3] & (before | t["ascii"][d])) | (c == 0xFFFD) | (b == 0xFFFD)
+            three = (x >= 0xE0) & (x < 0xF0) & third & ((x > 0xE0) | (y >= 0xA0)) & fits
+            four = (x >= 0xF0) & (x < 0xF5) & third & ((table[d] >> 6) == 2)
+            hit[high[two | three | four]] = True
     return hit
 
 
@@ -229,33 +354,31 @@ SPACE = re.compile(r"[ \t\r\n]+")
 
 
 def damaged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, token)``: the distinct tokens with a second reading; token null where bytes are lost for sure."""
+    """``(doc_id, broken, tokens)``: the tokens with a second reading in their order, and whether bytes are lost for sure; of documents with either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for b in pieces(batches, "text"):
             column = text_column(b.column("text"))
             coded, vietnamese, broken = suspects(*to_codepoints(column))
-            ids: list[int] = []
-            tokens: list[str | None] = []
+            out: list[tuple[int, bool, list[str]]] = []
             for r in np.flatnonzero(coded | vietnamese | broken).tolist():
-                i = b.column("doc_id")[r].as_py()
-                if broken[r]:
-                    ids.append(i)
-                    tokens.append(None)
-                for token in set(SPACE.split(column[r].as_py())):
+                tokens = []
+                for token in SPACE.split(column[r].as_py()):
                     if token.isascii():
                         continue
                     if token not in known:
                         if len(known) > 300_000:
                             known.clear()
-                        known[token] = LOST in token or any(unread(token, p) for p in CODE_PAGES)
+                        known[token] = LOST in token or any(True for p in CODE_PAGES for _ in lattices(token, p))
                     if known[token] or vietnamese[r] and any(ord(c) in windows_letters() for c in token):
-                        ids.append(i)
                         tokens.append(token)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string())], names=["doc_id", "token"])
+                if tokens or broken[r]:
+                    out.append((b.column("doc_id")[r].as_py(), bool(broken[r]), tokens))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.list_(pa.string())))], names=["doc_id", "broken", "tokens"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, token string")
+    lean = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    return lean.mapInArrow(run, "doc_id long, broken boolean, tokens array<string>")
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -322,45 +445,102 @@ def lost_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def scored(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """``(token, channel, reading, cost)`` of all readings of the tokens, their own spelling included ('as is')."""
+    """``(token, channel, reading, cost)`` of the cheapest reading of the tokens under each channel, their own spelling included ('as is')."""
+    whole = math.log(total + 1)
+
+    def gain(channel: str, token: str, reading: str) -> float:
+        depth = channel.partition("*")[2]
+        return TOKEN_COST * int(depth or 1) - (LONG_GAIN if depth and len(token) - len(reading) > int(depth) else 0.0)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column("token").to_pylist():
-                for channel, r in [("as is", t), *readings(t)]:
-                    cost = odd_signs(r) + (0 if channel == "as is" else CHANNEL_COST)
-                    if channel not in ("as is", "vietnamese") and len(t) - len(r) > 1:
-                        cost -= LONG_GAIN
-                    rows += [(t, channel, r, cost, w) for w in words(r)] or [(t, channel, r, cost, "")]
+                for channel, r, _ in [("as is", t, None), *readings(t)]:
+                    if r is not None:
+                        cost = odd_signs(r) + (0 if channel == "as is" else gain(channel, t, r))
+                        rows += [(t, channel, r, cost, w) for w in words(r)] or [(t, channel, r, cost, "")]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()))], names=["token", "channel", "reading", "signs", "word"])
 
     parts = tokens.mapInArrow(expand, "token string, channel string, reading string, signs double, word string")
-    surprise = F.when(F.col("word") == "", 0.0).otherwise(math.log(total + 1) - F.log(F.coalesce("n", F.lit(0)) + 0.1))
-    return parts.join(counts, "word", "left").groupBy("token", "channel", "reading").agg((F.sum(surprise) + F.first("signs")).alias("cost"))
+    surprise = F.when(F.col("word") == "", 0.0).otherwise(whole - F.log(F.coalesce("n", F.lit(0)) + 0.1))
+    sure = parts.join(counts, "word", "left").groupBy("token", "channel", "reading").agg((F.sum(surprise) + F.first("signs")).alias("cost"))
+    return sure.unionByName(with_lost_bytes(tokens.where(F.col("token").contains(LOST)), counts, whole, gain))
 
 
-def verdicts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Tokens by document, distinct tokens, word counts and the scored readings."""
+def with_lost_bytes(tokens: DataFrame, counts: DataFrame, whole: float, gain) -> DataFrame:
+    """The same for readings that lost bytes leave open: the Viterbi way through each lattice, whose slots meet the words of the corpus that look so when damaged."""
+
+    def open_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, c, i, j, t[i:j]) for t in b.column("token").to_pylist() for c, _, arcs in readings(t) if arcs for i, j in slots(arcs, len(t)) or {(0, 0): ""}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["token", "channel", "i", "j", "look"])
+
+    asked = cut(tokens.mapInArrow(open_slots, "token string, channel string, i int, j int, look string"))
+    channels = [r[0] for r in asked.select("channel").distinct().collect()]  # a code page and a number of passes each
+
+    def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = [(c, *c.split("*")) for c in channels]
+        for b in batches:
+            rows = []
+            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
+                for variant in {w, w.capitalize(), w.upper()}:
+                    rows += [(c, garbled(variant, page, int(depth)), variant, n) for c, page, depth in passes]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["channel", "look", "variant", "n"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, c, found in zip(*(b.column(k).to_pylist() for k in ("token", "channel", "found"))):
+                page, depth = c.split("*")
+                arcs = next(itertools.islice(lattices(t, page), int(depth) - 1, None))
+                known = {(f["i"], f["j"]): (f["best"]["variant"], whole - math.log(f["best"]["n"] + 0.1)) for f in found if f["best"]}
+                cost, text = cheapest(arcs, len(t), known, whole - math.log(0.1))
+                rows.append((t, c, text, cost + gain(c, t, text)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["token", "channel", "reading", "cost"])
+
+    shown = counts.mapInArrow(looks, "channel string, look string, variant string, n long") if channels else None
+    if shown is None:
+        return asked.select("token", "channel", F.col("look").alias("reading"), F.lit(0.0).alias("cost")).limit(0)
+    best = shown.join(asked.select("channel", "look").distinct(), ["channel", "look"], "left_semi").groupBy("channel", "look").agg(F.max(F.struct("n", "variant")).alias("best"))
+    each = asked.join(best, ["channel", "look"], "left").groupBy("token", "channel").agg(F.collect_list(F.struct("i", "j", "best")).alias("found"))
+    return each.mapInArrow(solve, "token string, channel string, reading string, cost double")
+
+
+def decided(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, path)`` of the damaged documents: their tokens with a likely second reading, in order, and what becomes of them.
+
+    A document is damaged if its Viterbi path leaves a token's own spelling, or if bytes are lost for sure."""
     counts = cut(word_counts(df, text))
     total = counts.agg(F.sum("n")).first()[0] or 0
     by_doc = cut(damaged(df, doc_id, text))
-    tokens = by_doc.where("token is not null").select("token").distinct()
-    return by_doc, tokens, counts, scored(tokens, counts, total)
-
-
-def hits(by_doc: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """``(doc_id)``: documents with lost bytes or with a token whose other reading is the likelier one."""
+    tokens = cut(by_doc.select(F.explode("tokens").alias("token")).distinct())
     own = F.min(F.when(F.col("channel") == "as is", F.col("cost")))
+    options = F.collect_list(F.struct("channel", "reading", "cost"))
     other = F.min(F.when(F.col("channel") != "as is", F.col("cost")))
-    garbled = alternatives.groupBy("token").agg((other < own).alias("garbled")).where("garbled").select("token")
-    return by_doc.where("token is null").select("doc_id").unionByName(by_doc.join(garbled, "token", "left_semi").select("doc_id")).distinct()
+    # a reading that is dearer than to leave the channel and to enter it again is on no path
+    table = scored(tokens, counts, total).groupBy("token").agg(options.alias("readings"), own.alias("own"), other.alias("other")).where(f"other < own + {CHANNEL_COST} or contains(token, '{LOST}')")
+    lost = lost_words(tokens, counts).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("piece", "word"))).alias("pieces"))
+    full = table.select("token", "readings").join(lost, "token", "left")
+    each = by_doc.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(full, "token")
+    known = each.groupBy("doc_id").agg(F.collect_list(F.struct("token", "readings", "pieces")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, broken, own_tokens, table_ in zip(*(b.column(c).to_pylist() for c in ("doc_id", "broken", "tokens", "known"))):
+                path = best_path(own_tokens, {x["token"]: x for x in table_ or []})
+                if broken or any(t != r for t, r in path):
+                    rows.append((i, [{"token": t, "text": r} for t, r in path]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], b_type)], names=["doc_id", "path"])
+
+    b_type = pa.list_(pa.struct([("token", pa.string()), ("text", pa.string())]))
+    return by_doc.join(known, "doc_id", "left").mapInArrow(run, "doc_id long, path array<struct<token: string, text: string>>")
 
 
 def found(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id)`` of every document any part of which was read in a wrong encoding."""
-    by_doc, _, _, alternatives = verdicts(df, doc_id, text)
-    return hits(by_doc, alternatives)
+    return decided(df, doc_id, text).select("doc_id").distinct()
 
 
 def with_case(word: str, like: str) -> str:
@@ -370,53 +550,53 @@ def with_case(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def decode(text: str, table: dict[str, list[tuple[str, str, float]]], pieces_: dict[str, dict[str, str]]) -> str:
-    """The Viterbi path over a document's tokens: the cheapest readings and changes of channel."""
-    parts = re.split(r"([ \t\r\n]+)", text)
-    best: dict[str, tuple[float, list]] = {"as is": (0.0, None)}
-    at: list[int] = []
-    for k, token in enumerate(parts):
-        if token not in table:
+def best_path(tokens: list[str], known: dict[str, dict]) -> list[tuple[str, str]]:
+    """The Viterbi path over a document's tokens: the cheapest readings and entries into channels.  The known tokens in order and what it makes of them."""
+    best: dict[str, tuple[float, tuple | None]] = {"as is": (0.0, None)}
+    for token in tokens:
+        if token not in known:
             continue
-        at.append(k)
-        options: dict[str, tuple[float, str]] = {}
-        for channel, reading, cost in table[token]:
-            if channel not in options or cost < options[channel][0]:
-                options[channel] = (cost, reading)
-        cheapest = min(best.items(), key=lambda x: x[1][0])
+        cheapest_ = min(best.values(), key=lambda x: x[0])
         step = {}
-        for channel, (cost, reading) in options.items():
-            stay = best.get(channel)
-            before = stay if stay and stay[0] <= cheapest[1][0] + SWITCH_COST else (cheapest[1][0] + SWITCH_COST, cheapest[1][1])
-            step[channel] = (before[0] + cost, (reading, before[1]))
+        for r in known[token]["readings"]:
+            channel, reading, cost = r["channel"], r["reading"], r["cost"]
+            change = (cheapest_[0] + (0.0 if channel == "as is" else CHANNEL_COST), cheapest_[1])
+            before = min(best.get(channel, change), change, key=lambda x: x[0])
+            cost += before[0]
+            if channel not in step or cost < step[channel][0]:
+                step[channel] = (cost, (token, reading, before[1]))
         best = step
-    path = min(best.values(), key=lambda x: x[0])[1]
-    for k in reversed(at):
-        token, parts[k] = parts[k], path[0]
-        if LOST in parts[k] and token in pieces_:
-            parts[k] = PIECE.sub(lambda m: with_case(pieces_[token][m[0].lower()], m[0]) if m[0].lower() in pieces_[token] else m[0], parts[k])
-        path = path[1]
+    path, out = min(best.values(), key=lambda x: x[0])[1], []
+    while path:
+        token, text, path = path
+        pieces_ = dict(known[token]["pieces"] or {})
+        if LOST in text and pieces_:
+            text = PIECE.sub(lambda m: with_case(pieces_[m[0].lower()], m[0]) if m[0].lower() in pieces_ else m[0], text)
+        out.append((token, text))
+    return out[::-1]
+
+
+def rewritten(text: str, path: list[tuple[str, str]]) -> str:
+    """A text with the tokens of a path replaced, in order."""
+    parts, k = SPACES_KEPT.split(text), 0
+    for n, part in enumerate(parts):
+        if k < len(path) and part == path[k][0]:
+            parts[n] = path[k][1]
+            k += 1
     return "".join(parts)
 
 
+SPACES_KEPT = re.compile(r"([ \t\r\n]+)")
+
+
 def restored(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, restored, complete)`` of the found documents; ``complete`` if no character is left lost."""
-    by_doc, tokens, counts, alternatives = verdicts(df, doc_id, text)
-    alternatives = cut(alternatives)
-    table = alternatives.groupBy("token").agg(F.collect_list(F.struct("channel", "reading", "cost")).alias("readings"))
-    lost = lost_words(tokens, counts).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("piece", "word"))).alias("pieces"))
-    full = table.join(lost, "token", "left")
-    own = by_doc.where("token is not null").join(full, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "readings", "pieces")).alias("tokens"))
-    hit = hits(by_doc, alternatives)
-    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(hit, "doc_id", "left_semi").join(own, "doc_id", "left")
+    paths = cut(decided(df, doc_id, text))
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(paths, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, tokens_ in zip(b.column("text").to_pylist(), b.column("tokens").to_pylist()):
-                known = {x["token"]: [(r["channel"], r["reading"], r["cost"]) for r in x["readings"]] for x in tokens_ or []}
-                lost_ = {x["token"]: dict(x["pieces"]) for x in tokens_ or [] if x["pieces"]}
-                out.append(decode(t, known, lost_))
+            out = [rewritten(t, [(x["token"], x["text"]) for x in p]) for t, p in zip(b.column("text").to_pylist(), b.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string()), pa.array([LOST not in t for t in out], pa.bool_())], names=["doc_id", "restored", "complete"])
 
     return texts.mapInArrow(run, "doc_id long, restored string, complete boolean")
