@@ -521,14 +521,15 @@ def decided(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     # a reading that is dearer than to leave the channel and to enter it again is on no path
     table = scored(tokens, counts, total).groupBy("token").agg(options.alias("readings"), own.alias("own"), other.alias("other"))
     fits = F.filter("readings", lambda r: (r["channel"] == "as is") | (r["cost"] < F.col("own") + CHANNEL_COST))
-    table = table.select("token", fits.alias("readings"), (F.col("other") < F.col("own")).alias("better")).where(f"size(readings) > 1 or contains(token, '{LOST}')")
+    table = table.select("token", fits.alias("readings"), (F.col("own") - F.col("other")).alias("gain")).where(f"size(readings) > 1 or contains(token, '{LOST}')")
     lost = lost_words(tokens, counts).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("piece", "word"))).alias("pieces"))
     full = cut(table.join(lost, "token", "left"))
-    # a path that changes a token has one with a better reading, or lost bytes
-    each = by_doc.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    hopeful = each.join(full.where("better").select("token"), "token").select("doc_id").distinct()
+    # what all tokens of a document can gain at most must be worth an entry into a channel
+    each = by_doc.select("doc_id", F.explode("tokens").alias("token"))
+    gains = each.join(full.where("gain > 0").select("token", "gain"), "token").groupBy("doc_id").agg(F.sum("gain").alias("gain"))
+    hopeful = gains.where(F.col("gain") > CHANNEL_COST).select("doc_id")
     by_doc = cut(by_doc.where("broken").unionByName(by_doc.where("not broken").join(hopeful, "doc_id", "left_semi")))
-    each = by_doc.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(full.drop("better"), "token")
+    each = by_doc.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(full.drop("gain"), "token")
     known = each.groupBy("doc_id").agg(F.collect_list(F.struct("token", "readings", "pieces")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
