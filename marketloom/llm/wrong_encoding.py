@@ -520,8 +520,10 @@ def decided(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     other = F.min(F.when(F.col("channel") != "as is", F.col("cost")))
     # a reading that is dearer than to leave the channel and to enter it again is on no path
     table = scored(tokens, counts, total).groupBy("token").agg(options.alias("readings"), own.alias("own"), other.alias("other"))
-    fits = F.filter("readings", lambda r: (r["channel"] == "as is") | (r["cost"] < F.col("own") + CHANNEL_COST))
-    table = table.select("token", fits.alias("readings"), (F.col("own") - F.col("other")).alias("gain")).where(f"size(readings) > 1 or contains(token, '{LOST}')")
+    # nor is one that is dearer than the cheapest by two entries, or by one if it is the token's own spelling
+    best = F.least("own", "other")
+    fits = F.filter("readings", lambda r: F.when(r["channel"] == "as is", r["cost"] < best + CHANNEL_COST).otherwise((r["cost"] < F.col("own") + CHANNEL_COST) & (r["cost"] < best + 2 * CHANNEL_COST)))
+    table = table.select("token", fits.alias("readings"), (F.col("own") - F.col("other")).alias("gain")).where(f"gain > -{CHANNEL_COST} or contains(token, '{LOST}')")
     lost = lost_words(tokens, counts).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("piece", "word"))).alias("pieces"))
     full = cut(table.join(lost, "token", "left"))
     # what all tokens of a document can gain at most must be worth an entry into a channel
