@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm import canonical_values, format_duplicates, leaked_passages, plain_text, same_product, window_packing, wrong_encoding
@@ -63,12 +64,12 @@ def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
     return window_packing.violations(p7_containers(spark, d))
 
 
-def names(spark: SparkSession, d: str) -> list[str]:
+def names(spark: SparkSession, d: str) -> np.ndarray:
     return leaked_passages.lexicon(table(spark, d, "brands"), table(spark, d, "sources"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_passages.found(table(spark, d, "documents"), table(spark, d, "eval_items"), names(spark, d))
+    return leaked_passages.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:

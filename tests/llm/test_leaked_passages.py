@@ -59,9 +59,43 @@ def test_reparameterised():
     assert leaks.runs(text(changed))[0][:3] == (0, 7, "reparameterised")
     assert leaks.runs(text(item)) == [(0, 7, "exact", len(words(item)))]
     assert [r[2] for r in leaks.runs(text(mixed))] == ["exact"]
+    short = "Hỏi kho Orbit có 12 tivi và 5 quạt mới thì còn lại bao nhiêu món hàng"
+    leaks = lp.Leaks([7], [short], ["orbit", "nova", "dell", "inspiron"])
+    for copy in ("Hỏi kho Nova có 9 tivi và 4 quạt mới thì còn lại bao nhiêu món hàng", short.replace("5 quạt", "6 quạt").replace("Orbit", "Dell Inspiron").replace("12", "1.450"), short.replace("12", "7").replace("5", "7")):
+        assert [r[2] for r in leaks.runs(text("mở đầu. " + copy + " hết"))] == ["reparameterised"], copy
+    twice = "ở kệ trên cùng mã KX11111 gần cửa sổ và mã KX11111 ở hàng sau cùng"
+    assert lp.Leaks([1], [twice]).runs(text(twice.replace("KX11111", "AB22222")))[0][2] == "reparameterised"
+    assert lp.Leaks([1], [twice]).runs(text(twice.replace("KX11111", "AB22222", 1).replace("KX11111", "CD3333"))) == []
     assert leaks.runs(text("không có gì")) == []
 
 
 def test_by_item(spark):
     d = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "item_id long, doc_id long")
     assert sorted(map(tuple, lp.by_item(d).collect())) == [(1, 2), (2, 1)]
+
+
+def reparameterised_copies(seed=5):
+    """Items with numbers, codes, units and names, and copies of them with other ones: (items, copies by item, other texts)."""
+    r = random.Random(seed)
+    names = ["Orbit", "Nova", "Dell Inspiron", "Zenor", "Sương Biếc Sơn"]
+    slot = {"N": lambda: r.choice([str(r.randint(1, 99)), f"{r.randint(1, 9)}.{r.randint(100, 999)}"]), "C": lambda: f"{r.choice('ABXY')}{r.choice('KQRT')}{r.randint(1000, 99999)}", "U": lambda: r.choice(["kg", "g", "ml", "lít"]), "B": lambda: r.choice(names)}
+    items, copies = [], []
+    for _ in range(60):
+        shape = [r.choice("NCUB") if r.random() < 0.25 else r.choice(VOCABULARY) for _ in range(r.randint(16, 40))]
+        fill = lambda: " ".join(slot[x]() if x in slot else x for x in shape)  # noqa: B023, E731
+        items.append(fill())
+        copies.append(" ".join(r.choice(VOCABULARY) for _ in range(15)) + " " + fill() + " " + " ".join(r.choice(VOCABULARY) for _ in range(15)))
+    other = [" ".join(slot[x]() if x in slot else x for x in (r.choice("NCUB") if r.random() < 0.25 else r.choice(VOCABULARY) for _ in range(60))) for _ in range(200)]
+    return items, copies, other, names
+
+
+def test_recall_of_reparameterised_items(spark, monkeypatch):
+    items, copies, other, names = reparameterised_copies()
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(copies + other)], "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    words_ = lp.lexicon(spark.createDataFrame([(n,) for n in names], "name string"))
+    rows = [tuple(r) for r in lp.passages(d, i, words_).collect()]
+    hit = {(r[0], r[1]) for r in rows}
+    assert len({k for k in range(60) if (k, k) in hit}) >= 54 and all(a == b for a, b in hit)
+    monkeypatch.setattr(lp, "MOST_WINDOWS", 0)
+    assert sorted(tuple(r) for r in lp.passages(d, i, words_).collect()) == sorted(rows)
