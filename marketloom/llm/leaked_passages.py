@@ -347,7 +347,7 @@ def joined_windows(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str,
     """The windows of documents beside those of items with equal templates, the items' columns named with ``o_``."""
     other = cut(windows_table(items, item_id, text, names, kind))
     mine = windows_table(docs, doc_id, text, names, kind, bitmap(other, "template"))
-    renamed = other.select(F.col("id").alias("item_id"), "template", *(F.col(c).alias(f"o_{c}") for c in ("place", "exact", "slots", "length")))
+    renamed = other.select(F.col("id").alias("item_id"), "template", *(F.col(c).alias(f"o_{c}") for c in ("place", "exact", "slots", "words", "length")))
     return mine.withColumnRenamed("id", "doc_id").join(renamed, "template")
 
 
@@ -400,7 +400,7 @@ def joined_passages(docs: DataFrame, items: DataFrame, names: list[str] | np.nda
         a, b = pdf["place"].to_numpy(), pdf["o_place"].to_numpy()
         none = np.zeros(len(a), np.int64)
         order, spans = adjoining(none, none, a, b)
-        kinds, mine, other, words = (np.stack(pdf[c].to_numpy())[order] for c in ("kinds", "slots", "o_slots", "words"))
+        kinds, mine, other, words = (np.stack(pdf[c].to_numpy())[order] for c in ("kinds", "slots", "o_slots", "o_words"))
         best = 0
         for x, y in spans:
             whole = lambda m: np.append(m[x:y, 0], m[y - 1, 1:])  # noqa: B023, E731
@@ -411,7 +411,7 @@ def joined_passages(docs: DataFrame, items: DataFrame, names: list[str] | np.nda
     key = ["doc_id", "item_id"]
     same = joined_windows(docs, items, doc_id, item_id, text, names, "exact").where("exact = o_exact")
     first = same.select(*key, "place", "o_place").groupBy(*key).applyInPandas(exact, PASSAGE)
-    like = joined_windows(docs, items, doc_id, item_id, text, names, "changed").select(*key, "place", "o_place", "kinds", "slots", "o_slots", "words", "o_length")
+    like = joined_windows(docs, items, doc_id, item_id, text, names, "changed").select(*key, "place", "o_place", "kinds", "slots", "o_slots", "o_words", "o_length")
     second = like.groupBy(*key).applyInPandas(changed, PASSAGE)
     first = cut(first)
     return first.unionByName(second.join(first.select(*key), key, "left_anti"))
