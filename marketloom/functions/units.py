@@ -41,6 +41,7 @@ STORAGE_KEYS = ("storage", "rom", "ram", "bo nho", "dung luong", "memory")
 PHONE = re.compile(r"\b(?:dien\W+thoai|dtdd|smart\W?phones?|phones?|cellphones?|may\W+tinh\W+bang|tablets?)\b")
 MOST_INCHES = 500  # a larger number before a quotation mark is no size of a screen
 STORAGE_SIZES = {8, 16, 32, 64, 128, 256, 512, 1024, 2048}
+GENERATIONS = {2, 3, 4, 5, 6}  # of mobile networks
 
 NUMBER = r"\d++(?:[.,]\d++)*+"
 WORD_UNIT = "|".join(re.escape(u).replace(r"\ ", "[^a-z0-9]{1,4}") for u in sorted(OF_UNIT, key=len, reverse=True) if u not in ('"', "''"))
@@ -114,8 +115,6 @@ def amounts(text: str) -> list[tuple[str, float, bool]]:
         if unit == "in" and m[1] and m[1].isdigit() and int(m[1]) <= 10 and re.match(r"\s*\d+\b(?!-)", text[m.end() :]):
             continue  # '2 in 1'
         value = number(m[1] or m[2], unit)
-        if unit == "g" and m[1] and value <= 6 and m.end(1) == m.start(3) and m.end(1) - m.start(1) == 1:
-            continue  # a mobile generation
         if m[5] and factor >= 1000:
             value += int(m[5]) / 10
         elif m[5]:
@@ -141,11 +140,11 @@ def storage(text: str) -> int | None:
 
 
 def in_name(name: str, phone: bool = False) -> dict[str, float]:
-    """The amounts that a plain name states, the first of each quantity; a phone's '128g' is storage."""
+    """The amounts that a plain name states, the first of each quantity; a phone's '128g' is storage and its '5g' a network."""
     out: dict[str, float] = {}
     phone = phone or bool(PHONE.search(name))
     for quantity, amount, letter in amounts(name):
-        if not (letter and phone and amount in STORAGE_SIZES):
+        if not (letter and phone and (amount in STORAGE_SIZES or amount in GENERATIONS)):
             out.setdefault(quantity, amount)
     return out
 

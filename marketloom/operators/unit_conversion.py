@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.units import PHONE, UNITS, in_name, in_specs, plain_ascii
@@ -34,6 +34,7 @@ BANDWIDTH = 2.5  # bins
 SURE = 0.9
 STEPS = 30
 MOST = 1e15  # no amount; digits run together
+ALL = "\x00"  # stands for all types that state nothing themselves
 
 
 def stated(df: DataFrame, row_id: str = "crawl_id", name: str = "name", specs: str = "specs", kind: str = "category") -> DataFrame:
@@ -74,14 +75,22 @@ def fit(known: np.ndarray, known_n: np.ndarray, bare: np.ndarray, bare_n: np.nda
     return post / post.sum(1, keepdims=True), share
 
 
+def types_of(parsed: DataFrame) -> DataFrame:
+    """``(kind, quantity, asked, lone)``: whether a type has bare numbers, and whether it has nothing else."""
+    return parsed.groupBy(F.coalesce("kind", F.lit("")).alias("kind"), "quantity").agg(F.max("bare").alias("asked"), F.min("bare").alias("lone"))
+
+
 def units_of(parsed: DataFrame) -> DataFrame:
-    """``(kind, quantity, bin, unit, factor, posterior)`` for every bin of bare numbers."""
+    """``(kind, quantity, bin, unit, factor, posterior)`` for every bin of bare numbers; the kind of types that state nothing is ``ALL``."""
     binned = parsed.select(F.coalesce("kind", F.lit("")).alias("kind"), "quantity", F.round(F.log10("value") / BIN).cast("int").alias("bin"), "bare")
     counts = binned.groupBy("kind", "quantity", "bin", "bare").agg(F.count("*").alias("n"))
-    each = counts.groupBy("kind", "quantity").agg(F.max("bare").alias("asked"), F.min("bare").alias("lone"))  # lone: states nothing itself
-    asked = counts.join(each.where("asked").select("kind", "quantity"), ["kind", "quantity"], "left_semi")
-    general = counts.where("not bare").groupBy("quantity", "bin").agg(F.sum("n").alias("n"))
-    helped = each.where("asked and lone").select("kind", "quantity").join(general, "quantity").select("kind", "quantity", "bin", F.lit(False).alias("bare"), "n")
+    each = types_of(parsed)
+    asked = counts.join(each.where("asked and not lone").select("kind", "quantity"), ["kind", "quantity"], "left_semi")
+    # types that state nothing themselves are fitted together, once per quantity, with the amounts of all types
+    lone = counts.join(each.where("lone").select("kind", "quantity"), ["kind", "quantity"], "left_semi").groupBy("quantity", "bin").agg(F.sum("n").alias("n"))
+    general = counts.where("not bare").join(lone.select("quantity").distinct(), "quantity", "left_semi").groupBy("quantity", "bin").agg(F.sum("n").alias("n"))
+    shape = lambda df, bare: df.select(F.lit(ALL).alias("kind"), "quantity", "bin", F.lit(bare).alias("bare"), "n")
+    helped = shape(lone, True).unionByName(shape(general, False))
 
     def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         kind, quantity = key
@@ -108,6 +117,8 @@ def converted(df: DataFrame, row_id: str = "crawl_id", name: str = "name", specs
     sure = parsed.where("not bare").select("crawl_id", "quantity", F.col("value").alias("amount"), F.lit(1.0).alias("posterior"), F.lit(False).alias("flagged"))
     units = units_of(parsed)
     bare = parsed.where("bare").select("crawl_id", "quantity", "value", F.coalesce("kind", F.lit("")).alias("kind"), F.round(F.log10("value") / BIN).cast("int").alias("bin"))
+    lone = types_of(parsed).where("lone").select("kind", "quantity", "lone")
+    bare = bare.join(lone, ["kind", "quantity"], "left").withColumn("kind", F.when(F.col("lone"), ALL).otherwise(F.col("kind")))
     guessed = bare.join(units, ["kind", "quantity", "bin"]).select("crawl_id", "quantity", (F.col("value") * F.col("factor")).alias("amount"), "posterior", (F.col("posterior") < SURE).alias("flagged"))
     return sure.unionByName(guessed)
 
@@ -122,3 +133,20 @@ def flagged(df: DataFrame) -> DataFrame:
     return converted(df).where("flagged").drop("flagged")
 
 
+def unitless(specs: Column) -> Column:
+    """Specifications with their units taken away: numbers alone, and keys without a unit in brackets or of their own."""
+    number = lambda v: F.regexp_extract(v, r"^\s*([0-9]+(?:[.,][0-9]+)*)", 1)
+    own = F.map_filter(specs, lambda k, v: ~F.lower(k).isin("unit", "units", "đvt", "đơn vị", "đơn vị tính"))
+    bare = F.transform_keys(own, lambda k, v: F.trim(F.regexp_replace(k, r"\s*\([^)]*\)", "")))
+    return F.transform_values(bare, lambda k, v: F.when(number(v) != "", number(v)).otherwise(v))
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """``(crawl_id, quantity, amount, stated, posterior, flagged)``: the mixture's answers for specifications whose units are taken
+    away, beside what they state with them; of quantities that the name does not state.  Every other row (by a hash of its id)
+    loses its units, the rest is what the mixture learns from."""
+    truth = stated(df.withColumn("name", F.lit(None).cast("string"))).where("not bare").groupBy("crawl_id", "quantity").agg(F.max("value").alias("stated"))
+    # a key may be there twice without its brackets
+    half = df.withColumn("specs", F.when(F.xxhash64("crawl_id") % 2 == 0, unitless(F.col("specs"))).otherwise(F.col("specs")))
+    answers = converted(half).where("posterior < 1 or flagged").groupBy("crawl_id", "quantity").agg(F.max_by("amount", "posterior").alias("amount"), F.max("posterior").alias("posterior"), F.max_by("flagged", "posterior").alias("flagged"))
+    return answers.join(truth, ["crawl_id", "quantity"]).select("crawl_id", "quantity", "amount", "stated", "posterior", "flagged")

@@ -57,6 +57,12 @@ def p4_flagged(spark: SparkSession, d: str) -> DataFrame:
     return unit_conversion.flagged(table(spark, d, "crawled_products"))
 
 
+@query()
+def p4_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """What the mixture makes of all specifications without their units, beside what they state."""
+    out = unit_conversion.inferred(table(spark, d, "crawled_products"))
+    return out.withColumn("right", F.abs(F.col("amount") - F.col("stated")) <= 0.01 * F.col("stated"))
+
 
 # --- index and ranking --------------------------------------------------------------------------
 

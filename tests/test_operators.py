@@ -313,3 +313,22 @@ def test_nearest_keeps_ties_in_order(spark):
     probe = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, embedding array<float>")
     got = {(r["query_id"], r["rank"]): r["doc_id"] for r in ranking.nearest(vectors, probe, 4).collect()}
     assert [got[0, k] for k in (1, 2, 3, 4)] == [0, 3, 6, 9] and [got[1, k] for k in (1, 2, 3, 4)] == [2, 5, 8, 11]
+
+
+def test_generations_only_on_phones(spark):
+    from marketloom.functions.units import in_name
+
+    assert in_name("ca phe goi 3g x 10") == {"mass": 3.0} and in_name("muoi 6g") == {"mass": 6.0}
+    assert in_name("dien thoai orbit 5g 128g") == {} and in_name("orbit 5g", phone=True) == {}
+
+
+def test_mixture_on_specs_without_units(spark):
+    """Specifications lose their units; the mixture gives them back, types that state nothing are fitted together."""
+    rows = [(i, "nồi", {"Công suất (kW)" if i % 3 == 0 else "Công suất": "1,8" if i % 3 == 0 else f"{1700 + i % 7 * 40} W"}, "nồi") for i in range(300)]
+    rows += [(1000 + i, "x", {"Công suất": "1750"}, f"lone{i}") for i in range(3)] + [(2000, None, None, None), (2001, "y", {}, "z")]
+    df = spark.createDataFrame(rows, "crawl_id long, name string, specs map<string,string>, category string")
+    out = unit_conversion.inferred(df).collect()
+    assert len(out) > 100 and all(abs(r["amount"] - r["stated"]) < 20 for r in out)
+    got = {r["crawl_id"]: r for r in unit_conversion.converted(df).collect()}
+    assert all(abs(got[1000 + i]["amount"] - 1750) < 1 for i in range(3)) and 2000 not in got
+    assert unit_conversion.inferred(df.limit(0)).count() == 0
