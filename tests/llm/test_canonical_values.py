@@ -58,7 +58,7 @@ def test_distance_and_dictionary_against_brute_force():
         for _ in range(2):
             typo[random.randrange(len(typo))] = random.choice("abcde")
         typo = "".join(typo)
-        near = {k for d in set(cv.deletes(typo, cv.edits_allowed(typo))) for k in own.near.get(d, ()) if cv.distance(typo, k)[0] <= min(cv.edits_allowed(typo), cv.edits_allowed(k))}
+        near = {k for k in own.near(typo) if cv.distance(typo, k)[0] <= min(cv.edits_allowed(typo), cv.edits_allowed(k))}
         assert near == {x for x in set(words) if plain_distance(typo, x) <= min(cv.edits_allowed(typo), cv.edits_allowed(x))}
     for a, b in zip(words[:100], words[100:200]):
         n = plain_distance(a, b)
@@ -85,5 +85,49 @@ def test_found(tables):
 
 
 def test_long_lists_are_joined(tables, monkeypatch):
-    monkeypatch.setattr(cv, "MOST_ENTRIES", 0)
+    monkeypatch.setattr(cv, "MOST_HASHES", 0)
     assert sorted(map(tuple, cv.found(*tables).collect())) == WANT
+
+
+def test_long_keys_against_brute_force():
+    """Keys around and beyond SHORT letters: edits and swaps anywhere, at the borders of pieces too."""
+    r = random.Random(4)
+    keys = ["".join(r.choice("abcdef") for _ in range(n)) for n in [38, 39, 40, 41, 42, 43, 60, 150, 400] for _ in range(3)]
+    own = cv.Dictionary([(i, k, 0) for i, k in enumerate(keys)])
+    for k in keys:
+        for _ in range(12):
+            t = list(k)
+            for _ in range(2):
+                at = r.choice([r.randrange(len(t) - 1), r.choice(cv.piece_bounds(len(k))[1:-1]) - 1])
+                kind = r.randrange(4)
+                if kind == 0:
+                    t[at] = "z"
+                elif kind == 1:
+                    t.insert(at, "z")
+                elif kind == 2:
+                    del t[at]
+                else:
+                    t[at], t[at + 1] = t[at + 1], t[at]
+            typo = "".join(t)
+            near = {x for x in own.near(typo) if cv.distance(typo, x)[0] <= 2}
+            assert near == {x for x in keys if abs(len(x) - len(typo)) <= 2 and plain_distance(typo, x) <= 2} and (k in near or plain_distance(typo, k) > 2)
+    assert own.resolve(keys[-1][:200] + "zz" + keys[-1][200:]) == keys.index(keys[-1])
+
+
+def test_both_ways_give_the_same(spark, monkeypatch):
+    """Broadcast and joined lists: blanks of every kind, signs only, words turned, decorations, misspellings, long names, many distinct values."""
+    r = random.Random(9)
+    names = ["Sương Biếc", "Máy giặt", "®", "Tivi", "Tivi 4K", "Nova", "nova", "x", "An", "dài " * 40 + "cuối", "Bếp từ đôi"]
+    reference = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    values = ["", " ", "\t", "\u00a0\u2003\n", "\x1f", "®", "??", "none", "OEM", "Giặt máy", "Nhà > Tivi", "tivi4k", "TV", "Novva", "nva", "y", "an", "thương hiệu Sương Biếc chính hãng", "suong biec", "dài " * 39 + "dai cuoi", "dài " * 40 + "cuối", None]
+    for _ in range(150):
+        v = list(r.choice(names[:2] + names[3:]))
+        for _ in range(r.randint(0, 3)):
+            v[r.randrange(len(v))] = r.choice("aeo xư")
+        values.append("".join(v))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "record_id long, brand_raw string")
+    first = sorted(map(tuple, cv.mapped(df, "record_id", {"brand_raw": reference}).collect()))
+    monkeypatch.setattr(cv, "MOST_HASHES", 0)
+    assert sorted(map(tuple, cv.mapped(df, "record_id", {"brand_raw": reference}).collect())) == first
+    got = {i: (ref, exact) for i, _, _, ref, exact in first}
+    assert not {0, 1, 2, 3, 4, 21} & set(got) and got[5] == (-1, False) and got[9] == (1, False) and got[19] == (9, False) and got[20] == (9, True)
