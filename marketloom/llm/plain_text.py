@@ -1,7 +1,7 @@
 """One consistent form for text that only looks plain (problem 6).
 
 Method: the Arrow text of a batch is copied into one code-point array; lookup-table gathers
-replace full-width forms, odd spaces and look-alike letters, expansion offsets take composed
+replace full-width forms, odd spaces and look-alike letters, expansion offsets take ligatures and composed
 letters apart, and marks are put in canonical order and composed again for all rows at once.
 
 Defined results: null stays null; empty text stays empty; plain text comes out byte for byte;
@@ -28,6 +28,13 @@ from marketloom.functions.codepoints import TOP, any_in_row, from_codepoints, pi
 from marketloom.functions.lookalikes import ALWAYS, INVISIBLE, LOOKALIKES, SPACES
 
 JOINER = 0x200D
+# Code points that show nothing by themselves: fillers, joiners of graphemes, and selectors of a variant (those after anything but a letter stay, as emoji have them).
+FILLERS = [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0]
+SELECTORS = [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+BLANK = 0x2800  # a pattern without dots looks like a space
+JOINED = [*range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]  # ligatures and numerals that look like the letters they are made of
+# Letters of another script that look like Latin ones in mixed words.
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
 
 
 @lru_cache(None)
@@ -67,21 +74,31 @@ def tables() -> dict[str, np.ndarray]:
         if kind[0] == "L":
             name = ud.name(ch, "")
             latin[c] = "LATIN" in name or single[c] != c
-            foreign[c] = name.startswith(("GREEK", "CYRILLIC", "ARMENIAN", "COPTIC"))
+            foreign[c] = name.startswith(("GREEK", "CYRILLIC", "ARMENIAN", "COPTIC", "CHEROKEE"))
         pictured[c] = c >= 0x1F000 or 0x2600 <= c < 0x27C0 or c in (0xFE0F, 0x2764)
-    for c in SPACES:
+    for c in (*SPACES, BLANK):
         single[c] = 32
         odd[c] = True
     for a, b in ALWAYS.items():
         single[ord(a)] = ord(b)
         odd[ord(a)] = True
-    for a, b in LOOKALIKES.items():
+    for a, b in (LOOKALIKES | CHEROKEE).items():
         look[ord(a)] = ord(b)
         odd[ord(a)] = True
     odd[foreign] = True
     hidden = np.zeros(TOP, bool)
-    hidden[INVISIBLE] = True
-    odd |= hidden | (ccc > 0)
+    hidden[[*INVISIBLE, *FILLERS]] = True
+    selector, letter = np.zeros(TOP, bool), np.zeros(TOP, bool)
+    selector[SELECTORS] = True
+    letter[[c for c in range(0x3400) if ud.category(chr(c))[0] in "LM" and c not in SELECTORS]] = True
+    joined = {c: ud.normalize("NFKC", chr(c)) for c in JOINED}
+    wide = np.ones(TOP, np.uint8)
+    wide[list(joined)] = [len(x) for x in joined.values()]
+    inside = np.zeros(TOP, np.int64)
+    inside[list(joined)] = np.cumsum([0, *(len(x) for x in joined.values())][:-1])
+    odd[JOINED] = True
+    odd[0x1100:0x1200] = True
+    odd |= hidden | selector | (ccc > 0)
     start = np.zeros(TOP, np.int64)
     flat: list[int] = []
     for c, full in parts.items():
@@ -91,6 +108,7 @@ def tables() -> dict[str, np.ndarray]:
     return {
         "single": single, "odd": odd, "latin": latin, "foreign": foreign, "word": word, "pictured": pictured, "look": look, "ccc": ccc, "width": width,
         "start": start, "flat": np.array(flat, np.uint32), "keys": keys, "made": np.array([pairs[k] for k in keys.tolist()], np.uint32), "hidden": hidden,
+        "selector": selector, "letter": letter, "wide": wide, "inside": inside, "letters": np.array([ord(x) for t in joined.values() for x in t], np.uint32), "joined": np.isin(np.arange(TOP), JOINED),
     }
 
 
@@ -101,9 +119,12 @@ def offsets_after(keep: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def unhide(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without invisible characters, but for joiners that hold emoji together."""
+    """Without invisible characters, but for joiners that hold emoji together and selectors of emoji."""
     t = tables()
     gone = t["hidden"][points]
+    if len(points):
+        before = np.append(0, points[:-1])
+        gone = gone | t["selector"][points] & (t["letter"][before] | t["selector"][before] | (before == 32))
     if not gone.any():
         return points, at
     joined = np.zeros(len(points), bool)
@@ -136,6 +157,38 @@ def unmask(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(swap, t["look"][points], points)
 
 
+def unjoin(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ligatures and numerals of one code point as the letters they look like."""
+    t = tables()
+    width = t["wide"][points].astype(np.int64)
+    parts = t["joined"][points]
+    if not parts.any():
+        return points, at
+    end = np.cumsum(width)
+    first = end - width
+    source = np.repeat(np.arange(len(points)), width)
+    place = np.arange(int(end[-1])) - first[source]
+    whole = points[source]
+    out = np.where(parts[source], t["letters"][np.minimum(t["inside"][whole] + place, len(t["letters"]) - 1)], whole).astype(np.uint32)
+    return out, np.append(first, end[-1])[at]
+
+
+def syllables(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Conjoining Korean letters as syllables; a row's end parts them."""
+    lead, vowel, tail = (points >= 0x1100) & (points <= 0x1112), (points >= 0x1161) & (points <= 0x1175), (points >= 0x11A8) & (points <= 0x11C2)
+    if not (lead.any() and vowel.any()):
+        return points, at
+    begin = np.zeros(len(points) + 2, bool)
+    begin[at[at < len(points)]] = True
+    two = np.flatnonzero(lead[:-1] & vowel[1:] & ~begin[1 : len(points)])
+    three = two[(two + 2 < len(points)) & tail[np.minimum(two + 2, len(points) - 1)] & ~begin[two + 2]]
+    out, keep = points.copy(), np.ones(len(points), bool)
+    out[two] = 0xAC00 + ((points[two] - 0x1100) * 21 + points[two + 1] - 0x1161) * 28
+    out[three] += points[three + 2] - 0x11A7
+    keep[two + 1] = keep[three + 2] = False
+    return out[keep], offsets_after(keep, at)
+
+
 def compose(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marks in canonical order and composed with their letters, for all rows at once."""
     t = tables()
@@ -178,8 +231,8 @@ def compose(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def canonical(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The consistent form of all rows, as code points and offsets."""
     points, at = unhide(points, at)
-    points = tables()["single"][points]
-    points, at = compose(points, at)
+    points, at = unjoin(tables()["single"][points], at)
+    points, at = syllables(*compose(points, at))
     return unmask(points, at), at
 
 

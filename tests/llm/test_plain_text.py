@@ -66,3 +66,16 @@ def test_rows_do_not_mix():
     random.seed(1)
     out, _ = plain(pa.array(texts, pa.string()))
     assert out.to_pylist() == ["e", "́a", "ô", "́", "ab"]
+
+
+def test_selectors_fillers_ligatures_and_syllables():
+    """What shows nothing goes, but not from emoji; ligatures, numerals, blanks and conjoining letters become what they look like."""
+    cases = {
+        "a\ufe0fb": "ab", "ca\u180bfe": "cafe", "x\u3164y\u115f": "xy", "a\u2800b": "a b", "\ufb01lter": "filter", "Pro \u2163 x": "Pro IV x", "\u13aabc": "Abc", "\u1112\u1161\u11ab\u1100\u116e": "\ud55c\uad6c", "o\u034f\u0302": "ô",
+        "\u2764\ufe0f x": None, "1\ufe0f\u20e3": None, "👨\u200d👩": None, "\ud55c\uad6d": None, "\u13a0\u13c2\u13f4\u13eb": None, "fi": None, "": None,
+    }
+    out, changed = plain(pa.array(list(cases)))
+    assert out.to_pylist() == [v if v is not None else k for k, v in cases.items()]
+    assert changed.tolist() == [v is not None for v in cases.values()]
+    both, _ = plain(pa.array(["\u1112", "\u1161", "\ufb03"]))
+    assert both.to_pylist() == ["\u1112", "\u1161", "ffi"]
