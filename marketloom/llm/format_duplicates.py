@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.functions.codepoints import TOP, mix64, pieces, powers, spread64, text_column, to_codepoints
+from marketloom.llm.codepoints import TOP, mix64, pieces, powers, spread64, text_column, to_codepoints
 from marketloom.session import cut
 
 BASE = 0x9E3779B97F4A7C15 | 5

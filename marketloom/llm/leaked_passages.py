@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.codepoints import TOP, mix64, pieces, powers, segment_hash, text_column, to_codepoints
+from marketloom.llm.codepoints import TOP, mix64, pieces, powers, segment_hash, text_column, to_codepoints
 from marketloom.session import cut
 
 WINDOW = 12

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.functions.codepoints import TOP, any_in_row, from_codepoints, pieces, text_column, to_codepoints
+from marketloom.llm.codepoints import TOP, any_in_row, from_codepoints, pieces, text_column, to_codepoints
 from marketloom.functions.lookalikes import ALWAYS, INVISIBLE, LOOKALIKES, SPACES
 
 JOINER = 0x200D

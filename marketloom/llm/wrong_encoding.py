@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.codepoints import TOP, any_in_row, pieces, segment_hash, text_column, to_codepoints
+from marketloom.llm.codepoints import TOP, any_in_row, pieces, segment_hash, text_column, to_codepoints
 from marketloom.session import cut
 
 CODE_PAGES = ("cp1252", "cp1258", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "cp1250")
