@@ -514,7 +514,10 @@ def decided(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     counts = cut(word_counts(df, text))
     total = counts.agg(F.sum("n")).first()[0] or 0
     by_doc = cut(damaged(df, doc_id, text))
-    tokens = cut(by_doc.select(F.explode("tokens").alias("token")).distinct())
+    # few bytes but much work each, so they are spread over all cores whatever their size
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tokens = cut(by_doc.select(F.explode("tokens").alias("token")).distinct().repartition(parts, "token"))
     own = F.min(F.when(F.col("channel") == "as is", F.col("cost")))
     options = F.collect_list(F.struct("channel", "reading", "cost"))
     other = F.min(F.when(F.col("channel") != "as is", F.col("cost")))
