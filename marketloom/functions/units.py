@@ -115,6 +115,8 @@ def amounts(text: str) -> list[tuple[str, float, bool]]:
         if unit == "in" and m[1] and m[1].isdigit() and int(m[1]) <= 10 and re.match(r"\s*\d+\b(?!-)", text[m.end() :]):
             continue  # '2 in 1'
         value = number(m[1] or m[2], unit)
+        if unit == "g" and value in GENERATIONS and m[0] == text.strip() == m[1] + unit:
+            continue  # '5g' alone names no product that it could be the mass of
         if m[5] and factor >= 1000:
             value += int(m[5]) / 10
         elif m[5]:
